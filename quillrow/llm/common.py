@@ -23,3 +23,8 @@ def text_or_empty(column: str | Column = "text") -> Column:
 def words(text: Column) -> Column:
     """The words of a text, in order, by JVM functions alone."""
     return F.array_remove(F.split(text, SPACE + "+"), "")
+
+
+def let(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once, however often the body names it."""
+    return F.transform(F.array(value), body)[0]
