@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from quillrow.llm import chat, exact_dedup, licenses, mixing, packing, quality, sharding
+from quillrow.llm import chat, exact_dedup, language, licenses, mixing, packing, quality, sharding
 
-MODULES = (chat, quality, packing, sharding, licenses, exact_dedup, mixing)
+MODULES = (chat, language, quality, packing, sharding, licenses, exact_dedup, mixing)
 
 QUERIES = {name: query for module in MODULES for name, query in module.QUERIES.items()}
 ORACLE_SQL = {name: sql for module in MODULES for name, sql in module.ORACLE_SQL.items()}
