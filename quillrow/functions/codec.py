@@ -9,6 +9,7 @@ from __future__ import annotations
 import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quillrow import wire
 from quillrow.arrow import to_array, to_values
@@ -40,10 +41,10 @@ def varint_size(z: Column) -> Column:
 
 def varint(z: Column) -> Column:
     """The varint of an unsigned number, as bytes."""
-    n = varint_size(z)
-    digit = lambda i: F.shiftrightunsigned(z, 7 * i).bitwiseAND(F.lit(127)) if isinstance(i, int) else None
-    parts = [F.when(n > k, F.lpad(F.hex(digit(k).bitwiseOR(F.when(n > k + 1, F.lit(128)).otherwise(F.lit(0)).cast("long"))), 2, "0")).otherwise(F.lit("")) for k in range(10)]
-    return F.unhex(F.concat(*parts))
+    rest = lambda k: F.shiftrightunsigned(z, 7 * k) if k else z
+    more = lambda k: F.when(rest(k) != 0, F.lit(128)).otherwise(F.lit(0)).cast("long") if k < 10 else F.lit(0).cast("long")
+    byte = lambda k: F.lpad(F.hex(rest(k).bitwiseAND(F.lit(127).cast("long")).bitwiseOR(more(k + 1))), 2, "0")
+    return F.unhex(F.concat(byte(0), *(F.when(rest(k) != 0, byte(k)).when(z.isNotNull(), F.lit("")) for k in range(1, 10))))
 
 
 def _long_of(s: Logical, x: Column) -> Column | None:
@@ -102,6 +103,19 @@ def native_encoding(s: Schema, x: Column) -> Column | None:
     return None
 
 
+def _as_arrow(kind: T.DataType) -> T.DataType:
+    """The type as Arrow batches bring it: every TIME has six digits there."""
+    if isinstance(kind, T.TimeType):
+        return T.TimeType(6)
+    if isinstance(kind, T.ArrayType):
+        return T.ArrayType(_as_arrow(kind.elementType), kind.containsNull)
+    if isinstance(kind, T.MapType):
+        return T.MapType(kind.keyType, _as_arrow(kind.valueType), kind.valueContainsNull)
+    if isinstance(kind, T.StructType):
+        return T.StructType([T.StructField(f.name, _as_arrow(f.dataType), f.nullable) for f in kind])
+    return kind
+
+
 def arrow_encoding(s: Schema, x: Column) -> Column:
     ship()
 
@@ -128,7 +142,9 @@ def from_binary(data: Column, schema: Schema | str, permissive: bool = False) ->
     s = _schema(schema)
     ship()
 
-    @F.arrow_udf(spark_type(s)[0])
+    kind = spark_type(s)[0]
+
+    @F.arrow_udf(_as_arrow(kind))
     def decode(values: pa.Array) -> pa.Array:
         run, out = wire.decoder(s), []
         for b in values.to_pylist():
@@ -140,7 +156,7 @@ def from_binary(data: Column, schema: Schema | str, permissive: bool = False) ->
                 out.append(None)
         return to_array(out, s)
 
-    return decode(data)
+    return decode(data) if _as_arrow(kind) == kind else decode(data).cast(kind)
 
 
 def encoded_size(x: Column, schema: Schema | str) -> Column:
