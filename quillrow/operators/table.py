@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 
 from quillrow import container, wire
 from quillrow.arrow import to_values
-from quillrow.errors import SchemaError
+from quillrow.errors import ContainerError, SchemaError
 from quillrow.runtime import shared_dir
 from quillrow.schema import Record, from_spark, parse, to_spark
 from quillrow.session import install
@@ -24,11 +24,25 @@ def read_container(spark: SparkSession, path: str, columns: list[str | int] | No
     """A container file, a folder of them or a pattern. columns (names or places): the decoder skips the others."""
     install(spark)
     reader = spark.read.format(FORMAT).options(**{k: str(v) for k, v in options.items()})
-    if columns is None:
-        return reader.load(path)
-    whole = reader.load(path).schema
-    names = [whole.names[c] if isinstance(c, int) else c for c in columns]
-    return reader.schema(T.StructType([whole[n] for n in names])).load(path)
+    whole = reader.load(path)
+    if columns is not None:
+        names = [whole.columns[c] if isinstance(c, int) else c for c in columns]
+        whole = reader.schema(T.StructType([whole.schema[n] for n in names])).load(path)
+    if str(options.get("counts", "")).lower() == "true":
+        return whole
+    # Spark drops the metadata of a Python source's fields; it says what their types cannot.
+    kept = {f.name: f.metadata for f in to_spark(container_schema(path))}
+    return whole.select(*(F.col(f"`{n}`").alias(n, metadata=kept[n]) if n in kept else F.col(f"`{n}`") for n in whole.columns))
+
+
+def container_schema(path: str) -> Record:
+    """The rows' schema in the header of the first file at a path."""
+    files = container.list_files(path)
+    if not files:
+        raise ContainerError(f"{path} has no file to take a schema from")
+    fs, _ = container.filesystem(path)
+    with fs.open_input_file(files[0][0]) as file:
+        return container.read_header(file).record
 
 
 def write_container(df: DataFrame, path: str, compression: str = "null", mode: str = "append", schema_json: str | None = None, **options: object) -> str:
@@ -143,9 +157,9 @@ def to_container_column(df: DataFrame, compression: str = "null", schema_json: s
 
 def union_ragged(*frames: DataFrame) -> DataFrame:
     """Rows of tables with differing columns: all columns, null where a table lacks one, mixed numbers widened."""
-    out = frames[0]
+    out = frames[0].select("*")
     for f in frames[1:]:
-        out = out.unionByName(f, allowMissingColumns=True)
+        out = out.unionByName(f.select("*"), allowMissingColumns=True)
     return out
 
 

@@ -79,7 +79,7 @@ def record_batches(file, path: str, wanted: list[str], expected: Record | None,
 class _Reader(DataSourceReader):
     def __init__(self, path: str, options: dict, wanted: list[str], expected: Record | None):
         self.path, self.wanted, self.expected = path, wanted, expected
-        self.split = int(options.get("splitBytes", SPLIT_BYTES))
+        self.split = int(options.get("splitbytes", SPLIT_BYTES))
         self.positions, self.counts = _true(options, "positions"), _true(options, "counts")
 
     def partitions(self) -> list[Split]:
@@ -115,8 +115,8 @@ class _Writer(DataSourceArrowWriter):
         self.path, self.overwrite = path, overwrite
         self.job = uuid.uuid4().hex
         self.codec = container.codec_name(options.get("compression"))
-        self.block = int(options.get("blockBytes", BLOCK_BYTES))
-        self.record = parse(options["schemaJson"]) if options.get("schemaJson") else from_spark(schema, options.get("recordName", "row"))
+        self.block = int(options.get("blockbytes", BLOCK_BYTES))
+        self.record = parse(options["schemajson"]) if options.get("schemajson") else from_spark(schema, options.get("recordname", "row"))
         if not isinstance(self.record, Record) or [f.name for f in self.record.fields] != list(schema.names):
             raise SchemaError("the schema must be a record with the columns' names in their order")
         for f, column in zip(self.record.fields, schema, strict=True):
@@ -174,8 +174,8 @@ class RowContainerSource(DataSource):
         return self.options["path"]
 
     def _record(self) -> Record:
-        if self.options.get("schemaJson"):
-            return parse(self.options["schemaJson"])
+        if self.options.get("schemajson"):
+            return parse(self.options["schemajson"])
         files = container.list_files(self._path())
         if not files:
             raise ContainerError(f"{self._path()} has no file to take a schema from")
@@ -190,10 +190,10 @@ class RowContainerSource(DataSource):
         return T.StructType([*found, *POSITIONS]) if _true(self.options, "positions") else found
 
     def reader(self, schema: T.StructType) -> DataSourceReader:
-        return _Reader(self._path(), dict(self.options), list(schema.names), None if _true(self.options, "counts") else self._record())
+        return _Reader(self._path(), {k.lower(): v for k, v in self.options.items()}, list(schema.names), None if _true(self.options, "counts") else self._record())
 
     def writer(self, schema: T.StructType, overwrite: bool) -> DataSourceArrowWriter:
-        return _Writer(self._path(), dict(self.options), schema, overwrite)
+        return _Writer(self._path(), {k.lower(): v for k, v in self.options.items()}, schema, overwrite)
 
 
 __all__ = ["FORMAT", "RowContainerSource", "record_batches", "render"]

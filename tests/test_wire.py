@@ -1,0 +1,187 @@
+import datetime
+import decimal
+import uuid
+
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+from quillrow import schema as S
+from quillrow import wire as W
+from quillrow.errors import DecodeError, EncodeError
+
+GOLDEN = [
+    (None, "null", ""),
+    (True, "boolean", "01"),
+    (False, "boolean", "00"),
+    (1, "long", "02"),
+    (63, "long", "7e"),
+    (64, "long", "8001"),
+    (-1, "long", "01"),
+    (-63, "long", "7d"),
+    (-64, "long", "7f"),
+    (-65, "long", "8101"),
+    (2**63 - 1, "long", "feffffffffffffffff01"),
+    (-(2**63), "long", "ffffffffffffffffff01"),
+    (255, "int", "fe03"),
+    ("", "string", "00"),
+    ("hey", "string", "06686579"),
+    (1.0, "double", "000000000000f03f"),
+    ([], '{"type":"array","items":"long"}', "00"),
+    ([1, 2, 3, 4, 5], '{"type":"array","items":"long"}', "090a020406080a00"),
+    ([None] * 3, '{"type":"array","items":"null"}', "050000"),
+    ({}, '{"type":"map","values":"boolean"}', "00"),
+    ({"a": True}, '{"type":"map","values":"boolean"}', "010602610100"),
+    (b"hey", '{"type":"fixed","name":"f","size":3}', "686579"),
+    ("stranger", '{"type":"enum","name":"e","symbols":["hey","there","stranger"]}', "04"),
+    (datetime.date(2021, 1, 1), '{"type":"int","logicalType":"date"}', "88a302"),
+    ({"months": 1, "days": 2, "millis": 3}, '{"type":"fixed","name":"d","size":12,"logicalType":"duration"}', "010000000200000003000000"),
+    (decimal.Decimal(1), '{"type":"fixed","name":"d","size":16,"logicalType":"decimal","precision":4,"scale":0}', "00" * 15 + "01"),
+    (decimal.Decimal(1), '{"type":"fixed","size":16,"logicalType":"decimal","precision":4,"scale":0}', "01" + "00" * 15),
+]
+
+
+@pytest.mark.parametrize("value,schema,hexed", GOLDEN)
+def test_golden_bytes(value, schema, hexed):
+    s = S.parse(schema)
+    data = W.encode(s, value)
+    assert data.hex() == hexed
+    assert W.encoded_size(s, W.host_value(s, value)) == len(data)
+    assert W.skipper(s)(data, 0, len(data)) == len(data)
+    assert W.encode(s, W.decode(s, data)) == data
+
+
+def test_every_short_integer():
+    encode, decode = W.encoder(S.INT), W.decoder(S.LONG)
+    for x in range(-(1 << 15), 1 << 15):
+        data = encode(x)
+        assert decode(data, 0, len(data)) == (x, len(data))
+
+
+def _values(s):
+    if isinstance(s, S.Primitive):
+        return {
+            "null": st.none(),
+            "boolean": st.booleans(),
+            "int": st.integers(-(2**31), 2**31 - 1),
+            "long": st.integers(-(2**63), 2**63 - 1),
+            "float": st.floats(width=32, allow_nan=False),
+            "double": st.floats(allow_nan=False),
+            "bytes": st.binary(max_size=20),
+            "string": st.text(max_size=20),
+        }[s.kind]
+    if isinstance(s, S.Fixed):
+        return st.binary(min_size=s.size, max_size=s.size)
+    if isinstance(s, S.Enum):
+        return st.sampled_from(s.symbols)
+    if isinstance(s, S.Array):
+        return st.lists(_values(s.items), max_size=4)
+    if isinstance(s, S.Map):
+        return st.dictionaries(st.text(max_size=4), _values(s.values), max_size=4).map(lambda d: list(d.items()))
+    if isinstance(s, S.Record):
+        return st.fixed_dictionaries({f.name: _values(f.type) for f in s.fields})
+    if isinstance(s, S.Union):
+        shape = S.union_shape(s)
+        if shape == "members":
+            out = st.one_of(*(_values(t).map(lambda v, k=k: {f"member{k}": v}) for k, (_, t) in enumerate(s.members)))
+        elif shape == "double":
+            out = st.floats(allow_nan=False)
+        elif shape == "long":
+            out = _values(S.LONG)
+        else:
+            out = _values(s.members[0][1]) if s.members else st.none()
+        return st.none() | out if s.null_branch is not None else out
+    return {
+        "date": st.integers(-100000, 100000),
+        "uuid": st.uuids().map(str),
+        "time-millis": st.integers(0, 86399999).map(lambda n: n * 10**6),
+        "time-micros": st.integers(0, 86399999999).map(lambda n: n * 1000),
+        "timestamp-millis": st.integers(-(10**13), 10**13).map(lambda n: n * 1000),
+        "local-timestamp-millis": st.integers(-(10**13), 10**13).map(lambda n: n * 1000),
+        "decimal": st.integers(-(10 ** max(1, s.precision) - 1), 10 ** max(1, s.precision) - 1).map(lambda n: decimal.Decimal(n).scaleb(-s.scale)),
+        "duration": st.fixed_dictionaries({n: st.integers(0, 2**31 - 1) for n in ("months", "days", "millis")}),
+    }.get(s.logical, st.integers(-(2**60), 2**60))
+
+
+def _schemas():
+    leaves = st.sampled_from(
+        [S.Primitive(k) for k in S.PRIMITIVES]
+        + [S.Fixed("f3", 3), S.Fixed("f0", 0), S.Enum("e", ("a", "b", "c"))]
+        + [S.logical(n) for n in S.LOGICAL_BASES if n != "decimal"]
+        + [S.logical("decimal", precision=9, scale=2), S.Logical("decimal", S.BYTES, 20, 5)]
+    )
+
+    def more(inner):
+        record = st.lists(inner, min_size=1, max_size=3).map(lambda ts: S.Record("r", tuple(S.Field(f"x{i}", t) for i, t in enumerate(ts))))
+        plain = inner.filter(lambda t: not isinstance(t, S.Union) and t != S.NULL)
+        union = st.lists(plain, min_size=1, max_size=3).map(lambda ts: S.union_of(S.NULL, *ts))
+        return st.one_of(inner.map(S.Array), inner.map(S.Map), record, union)
+
+    return st.recursive(leaves, more, max_leaves=5)
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.data())
+def test_any_value_of_any_schema(data):
+    s = data.draw(_schemas())
+    x = data.draw(_values(s))
+    encoded = W.encoder(s)(x)
+    assert W.decoder(s)(encoded + b"rest", 0, len(encoded) + 4) == (x, len(encoded))
+    assert W.skipper(s)(encoded + b"rest", 0, len(encoded) + 4) == len(encoded)
+    assert W.encoded_size(s, x) == len(encoded)
+    assert S.parse(S.render(s)) == s
+
+
+def test_blocks_with_and_without_sizes_and_repeated_keys():
+    s = S.parse('{"type":"array","items":"long"}')
+    # Two items in a block of two bytes, then one in a block without a size; a wrong size is found out.
+    assert W.decode(s, bytes([3, 4]) + bytes([2, 4]) + bytes([2, 6]) + b"\0") == [1, 2, 3]
+    with pytest.raises(DecodeError):
+        W.decode(s, bytes([3, 2, 2, 4, 0]))
+    m = S.parse('{"type":"map","values":"long"}')
+    assert W.decode(m, bytes([4, 2, 97, 2, 2, 97, 4, 0])) == [("a", 2)]
+
+
+@pytest.mark.parametrize(
+    "schema,data",
+    [
+        ("long", b"\x80"),
+        ("long", b"\xff" * 11),
+        ("boolean", b"\x02"),
+        ("string", b"\x0aab"),
+        ("double", b"\x00" * 7),
+        ('{"type":"fixed","name":"f","size":3}', b"ab"),
+        ('{"type":"enum","name":"e","symbols":["a"]}', b"\x02"),
+        ('["null","long"]', b"\x04"),
+        ("int", b"\xff\xff\xff\xff\xff\x01"),
+        ('{"type":"array","items":"null"}', b"\x05\x02"),
+    ],
+)
+def test_damaged_bytes_raise(schema, data):
+    with pytest.raises(DecodeError):
+        W.decode(S.parse(schema), data)
+
+
+@pytest.mark.parametrize(
+    "schema,value",
+    [
+        ("long", None),
+        ("int", 2**31),
+        ("long", 2**63),
+        ('{"type":"fixed","name":"f","size":3}', b"ab"),
+        ('{"type":"enum","name":"e","symbols":["a"]}', "b"),
+        ('{"type":"bytes","logicalType":"decimal","precision":4,"scale":1}', decimal.Decimal(12345)),
+        ('{"type":"bytes","logicalType":"decimal","precision":4,"scale":1}', decimal.Decimal("1.23")),
+        ('{"type":"string","logicalType":"uuid"}', "x"),
+    ],
+)
+def test_values_that_do_not_fit_raise(schema, value):
+    with pytest.raises(EncodeError):
+        W.encode(S.parse(schema), value)
+
+
+def test_times_before_the_epoch_floor():
+    s = S.logical("local-timestamp-millis")
+    assert W.decode(s, W.encode(s, datetime.datetime(1969, 12, 31, 23, 59, 59, 999500))) == -1000
+    s = S.logical("uuid")
+    assert W.decode(s, W.encode(s, uuid.UUID(int=5))) == str(uuid.UUID(int=5))
