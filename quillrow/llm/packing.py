@@ -18,6 +18,8 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from string import punctuation
+from unicodedata import is_normalized
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +34,7 @@ END_ID = 2
 #: Pieces in a group that one task ranks.
 GROUP = 8000
 #: Chunks between ASCII white space whose ids a task remembers.
-REMEMBERED = 400_000
+REMEMBERED = 600_000
 
 
 def tokenizer_path() -> str:
@@ -42,33 +44,86 @@ def tokenizer_path() -> str:
 
 
 class _Ids(dict):
-    """Ids, as little-endian bytes, of a chunk of text that holds no ASCII white space.
+    """Numbers of chunks of text between ASCII white space; ``parts`` has their ids as little-endian bytes.
 
     The tokenizer drops white space and never looks across it, so a text's ids are its chunks' ids
-    in order. Chunks that were met before are looked up.
+    in order, and chunks that were met before are looked up. A new chunk of Latin letters, perhaps
+    with ASCII marks behind, is two pre-tokens that normalization only turns to lower case: all
+    such words go through the tokenizer's model together. Any other chunk goes through the whole
+    tokenizer.
     """
 
     def __init__(self, model: str):
-        from tokenizers import Tokenizer
-
-        self.encode = Tokenizer.from_str(model).encode
-
-    def __missing__(self, chunk: bytes) -> bytes:
-        ids = self.encode(chunk.decode("utf-8", "replace"), add_special_tokens=False).ids
-        if len(self) >= REMEMBERED:
+        from tokenizers import Tokenizer, pre_tokenizers
+
+        whole = Tokenizer.from_str(model)
+        self.encode = lambda chunk: np.array(whole.encode(chunk, add_special_tokens=False).ids, dtype="<u4").tobytes()
+        self.marks = {"": b""}
+        self.words = Tokenizer(whole.model)
+        self.words.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        self.ends = np.zeros(whole.get_vocab_size(), dtype=bool)
+        self.ends[[i for token, i in whole.get_vocab(False).items() if token.endswith("</w>")]] = True
+        self.parts: list[bytes] = []
+        self.new: list[bytes] = []
+
+    def __missing__(self, chunk: bytes) -> int:
+        self.new.append(chunk)
+        self[chunk] = n = len(self)
+        return n
+
+    def forget(self) -> None:
+        if len(self) > REMEMBERED:
             self.clear()
-        self[chunk] = found = np.array(ids, dtype="<u4").tobytes()
-        return found
+            self.parts = []
+
+    def learn(self) -> None:
+        """Gives the chunks met since the last call their parts."""
+        since = len(self.parts)
+        self.parts += [b""] * len(self.new)
+        plain: dict[str, list[tuple[int, bytes]]] = {}
+        for at, said in enumerate("\n".join([c.decode("utf-8", "replace") for c in self.new]).split("\n") if self.new else (), since):
+            low = said.lower()
+            word = low.rstrip(punctuation)
+            if word.isalpha() and (said.isascii() or (max(said) < "\u0250" and is_normalized("NFC", said))):
+                mark = low[len(word) :]
+                if mark not in self.marks:
+                    self.marks[mark] = self.encode(mark)
+                plain.setdefault(word, []).append((at, self.marks[mark]))
+            else:
+                self.parts[at] = self.encode(said)
+        if plain:
+            ids = np.array(self.words.encode(" ".join(plain), add_special_tokens=False).ids, dtype="<u4")
+            data, last = ids.tobytes(), 0
+            for chunks, end in zip(plain.values(), (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist(), strict=True):
+                own, last = data[last:end], end
+                for at, mark in chunks:
+                    self.parts[at] = own + mark
+        self.new = []
+
+    def texts(self, texts: list[str]) -> Iterator[bytes]:
+        """The ids of each text. A few megabytes at a time are cut into chunks."""
+        at = 0
+        while at < len(texts):
+            self.forget()
+            numbers, size = [], 0
+            while at < len(texts) and size < 1 << 22:
+                numbers.append(list(map(self.__getitem__, texts[at].encode("utf-8", "replace").split())))
+                size += len(texts[at])
+                at += 1
+            self.learn()
+            part = self.parts.__getitem__
+            for own in numbers:
+                yield b"".join(map(part, own))
 
 
 def _pieces(model, capacity: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids = _Ids(model.value)
-        get, end = ids.__getitem__, np.array([END_ID], dtype="<u4").tobytes()
+        end = np.array([END_ID], dtype="<u4").tobytes()
         for batch in batches:
             row, start, length, crc, total = [], [], [], [], []
-            for k, text in enumerate(batch.column("text").to_pylist()):
-                data = b"".join(map(get, text.encode("utf-8", "replace").split())) + end
+            for k, data in enumerate(ids.texts(batch.column("text").to_pylist())):
+                data += end
                 n = len(data) // 4
                 for a in range(0, n, capacity):
                     b = min(a + capacity, n)
