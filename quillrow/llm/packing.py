@@ -161,15 +161,21 @@ def _best_pattern(value: np.ndarray, sizes: np.ndarray, capacity: int) -> np.nda
     return out
 
 
-def solve(sizes: np.ndarray, demand: np.ndarray, capacity: int, rounds: int = 20_000) -> tuple[np.ndarray, np.ndarray]:
-    """Patterns (rows: classes, columns: patterns) and how often the linear program uses each."""
+def solve(sizes: np.ndarray, demand: np.ndarray, capacity: int, gap: float = 1e-3, rounds: int = 3000) -> tuple[np.ndarray, np.ndarray]:
+    """Patterns (rows: classes, columns: patterns) and how often the linear program uses each.
+
+    The best pattern's value over 1 bounds how far the program is from its optimum: it ends within gap.
+    """
     basis = np.diag(capacity // sizes).astype(float)
     inverse = np.diag(1.0 / np.diag(basis))
     used = inverse @ demand
+    ready = [p for p, _ in _greedy(sizes, demand.astype(int), capacity)]  # a good start, before patterns are priced
     for step in range(1, rounds):
         duals = inverse.sum(axis=0)
-        pattern = _best_pattern(duals, sizes, capacity)
-        if duals @ pattern <= 1 + 1e-7:
+        pattern = max(ready, key=lambda p: duals @ p, default=None)
+        if pattern is None or duals @ pattern <= 1 + gap:
+            ready, pattern = [], _best_pattern(duals, sizes, capacity)
+        if duals @ pattern <= 1 + gap:
             break
         rate = inverse @ pattern
         ratio = np.where(rate > 1e-9, used / np.where(rate > 1e-9, rate, 1), np.inf)
@@ -187,6 +193,20 @@ def solve(sizes: np.ndarray, demand: np.ndarray, capacity: int, rounds: int = 20
     return basis, used
 
 
+def _greedy(sizes: np.ndarray, left: np.ndarray, capacity: int) -> list[tuple[np.ndarray, int]]:
+    """Patterns and how often each is used: the largest piece, then again and again the largest that fits."""
+    left, out = left.copy(), []
+    while left.any():
+        room, pattern = capacity, np.zeros(len(sizes), int)
+        for at in np.flatnonzero(left)[::-1]:
+            pattern[at] = min(room // int(sizes[at]), int(left[at]))
+            room -= pattern[at] * int(sizes[at])
+        times = int((left[pattern > 0] // pattern[pattern > 0]).min())
+        left -= times * pattern
+        out.append((pattern, times))
+    return out
+
+
 def plan(histogram: dict[int, int], capacity: int) -> list[tuple[dict[int, int], int]]:
     """(copies by class, number of sequences) that hold all pieces of the histogram."""
     if not histogram:
@@ -200,21 +220,10 @@ def plan(histogram: dict[int, int], capacity: int) -> list[tuple[dict[int, int],
         held = pattern > 0
         times = min(int(used[k] + 1e-6), int((left[held] // pattern[held]).min()))
         if times > 0:
-            out.append(({int(s): int(a) for s, a in zip(sizes[held], pattern[held], strict=True)}, times))
+            out.append((pattern, times))
             left -= times * pattern
-    # What rounding leaves, less than a sequence for each pattern: the largest piece, then what fits best.
-    while left.any():
-        room, bin_ = capacity, {}
-        while room:
-            fitting = np.flatnonzero((left > 0) & (sizes <= room))
-            if not len(fitting):
-                break
-            at = fitting[-1]
-            bin_[int(sizes[at])] = bin_.get(int(sizes[at]), 0) + 1
-            left[at] -= 1
-            room -= int(sizes[at])
-        out.append((bin_, 1))
-    return out
+    out += _greedy(sizes, left, capacity)  # what rounding leaves, less than a sequence for each pattern
+    return [({int(s): int(a) for s, a in zip(sizes, pattern, strict=True) if a}, times) for pattern, times in out]
 
 
 def _dealt(slots: dict[int, tuple[np.ndarray, ...]]):
