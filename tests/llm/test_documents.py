@@ -93,7 +93,7 @@ def _brute_classes(rows):
     classes = defaultdict(list)
     for k in range(len(rows)):
         classes[top(k)].append(rows[k][0])
-    return sorted(sorted((x for x in c if x is not None)) + [None] * c.count(None) for c in classes.values())
+    return sorted((sorted((x for x in c if x is not None)) + [None] * c.count(None) for c in classes.values()), key=repr)
 
 
 @pytest.mark.parametrize("which", ["near", "awkward"])
@@ -106,7 +106,7 @@ def test_near_classes(make, awkward, awkward_rows, near_rows, which):
         classes = defaultdict(list)
         for r in found:
             classes[r["class_id"]].append(r["doc_id"])
-        assert sorted(map(sorted, classes.values())) == expected
+        assert sorted(map(sorted, classes.values()), key=repr) == expected
         assert all(min(v) == k for k, v in classes.items()) and sum(r["kept"] for r in found) == len(expected)
     else:
         assert Counter(r["class_size"] for r in found) == Counter(len(c) for c in expected for _ in c)
