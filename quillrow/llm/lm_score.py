@@ -56,7 +56,7 @@ START, END = 1, 2
 def _dump(**arrays: np.ndarray) -> bytes:
     """Arrays, bytes of equal weight side by side, compressed."""
     head = [(k, v.dtype.str, len(v)) for k, v in arrays.items()]
-    body = b"".join(np.ascontiguousarray(v).view(np.uint8).reshape(len(v), -1).T.tobytes() for v in arrays.values())
+    body = b"".join(np.ascontiguousarray(v).view(np.uint8).reshape(len(v), -1).T.tobytes() for v in arrays.values() if len(v))
     return zstandard.ZstdCompressor(level=1).compress(pickle.dumps((head, body)))
 
 
