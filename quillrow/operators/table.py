@@ -17,12 +17,18 @@ from quillrow.errors import ContainerError, SchemaError
 from quillrow.runtime import shared_dir
 from quillrow.schema import Record, from_spark, parse, to_spark
 from quillrow.session import install
-from quillrow.sources.container_source import FORMAT, record_batches
+from quillrow.sources.container_source import FORMAT, SPLIT_BYTES, record_batches
+
+#: A split is not made smaller than this.
+LEAST_SPLIT = 1 << 20
 
 
 def read_container(spark: SparkSession, path: str, columns: list[str | int] | None = None, **options: object) -> DataFrame:
     """A container file, a folder of them or a pattern. columns (names or places): the decoder skips the others."""
     install(spark)
+    if "splitBytes" not in options:  # small tables too are read by all cores
+        share = sum(size for _, size in container.list_files(path)) // max(1, spark.sparkContext.defaultParallelism)
+        options["splitBytes"] = min(SPLIT_BYTES, max(LEAST_SPLIT, share))
     reader = spark.read.format(FORMAT).options(**{k: str(v) for k, v in options.items()})
     whole = reader.load(path)
     if columns is not None:
@@ -63,6 +69,9 @@ def container_writer(path: str, **options: object) -> Callable[[DataFrame], str]
 def round_trip(df: DataFrame, columns: list[str] | None = None, compression: str = "null", **options: object) -> DataFrame:
     """df written as a container into the shared folder, and the container read."""
     path = f"{shared_dir(df.sparkSession).rstrip('/')}/container-{uuid.uuid4().hex}"
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < cores:  # encoding costs more than dealing the rows out
+        df = df.repartition(cores)
     return read_container(df.sparkSession, write_container(df, path, compression, **options), columns)
 
 
