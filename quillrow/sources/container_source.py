@@ -10,6 +10,7 @@ _rows). Writing makes a file for each task: ``compression`` (null, deflate, bzip
 
 from __future__ import annotations
 
+import logging
 import os
 import uuid
 from collections.abc import Iterator
@@ -26,6 +27,7 @@ from quillrow.errors import ContainerError, SchemaError
 from quillrow.schema import Record, from_spark, parse, render, spark_type, to_spark
 
 FORMAT = "row_container"
+log = logging.getLogger("quillrow")
 SPLIT_BYTES = 64 << 20
 BLOCK_BYTES = 256 << 10
 POSITIONS = (T.StructField("_file", T.StringType(), False), T.StructField("_block", T.LongType(), False), T.StructField("_row", T.LongType(), False))
@@ -86,6 +88,7 @@ class _Reader(DataSourceReader):
         out = []
         for path, size in container.list_files(self.path):
             out += [Split(path, a, min(a + self.split, size)) for a in range(0, size, self.split)]
+        log.debug("%s: %d splits", self.path, len(out))
         return out or [Split("", 0, 0)]
 
     def read(self, partition: Split) -> Iterator[pa.RecordBatch]:
@@ -150,6 +153,7 @@ class _Writer(DataSourceArrowWriter):
         if self.overwrite:
             for path in self.earlier:
                 fs.delete_file(path)
+        log.debug("%s: committed %d files, %d rows", self.path, len(messages), sum(m.rows for m in messages if m is not None))
         self._clean()
 
     def abort(self, messages: list[_Written | None]) -> None:

@@ -115,6 +115,18 @@ def test_damaged_values(spark):
         df.select(from_binary(F.col("b"), "long")).collect()
 
 
+def test_value_files(spark, tmp_path):
+    from quillrow.operators import values
+
+    schema = '{"type":"record","name":"r","fields":[{"name":"a","type":"long"},{"name":"d","type":{"type":"int","logicalType":"date"}}]}'
+    (tmp_path / "schema.json").write_text(schema)
+    for k in range(3):
+        assert values.write_value(str(tmp_path / f"v{k}.bin"), {"a": k, "d": datetime.date(1970, 1, 2)}, str(tmp_path / "schema.json")) == 2
+    assert values.read_value(str(tmp_path / "v2.bin"), schema) == {"a": 2, "d": 1}
+    found = values.read_value_files(spark, str(tmp_path / "*.bin"), schema).select("value.*").collect()
+    assert sorted(map(tuple, found)) == [(k, datetime.date(1970, 1, 2)) for k in range(3)]
+
+
 def test_ragged_rows(spark, tmp_path):
     rows = [{"a": 1, "b": 2, "c": 3}, {"b": 4.0, "c": None, "d": 5}, {"a": 6, "d": 7}, {"a": 8, "b": 9, "c": 10, "d": None}, {"d": 11, "c": 10, "b": 9, "a": 8}]
     df = tables.from_ragged_rows(spark, rows)
