@@ -58,17 +58,18 @@ def _count(text: Column, pattern: str) -> Column:
     return F.regexp_count(text, F.lit(pattern)).cast("long")
 
 
-#: Statistics that rules may test, as expressions of the counts below.
+#: Statistics that rules may test, each made of the counts that the function given to it gets by name.
+_ratio = lambda over, under: lambda get: get(over) / F.greatest(get(under), F.lit(1))
 FEATURES = {
-    "n_words": "cast(n_words as double)",
-    "mean_word": "word_chars / greatest(n_words, 1)",
-    "symbols": "n_symbols / greatest(n_words, 1)",
-    "dup_lines": "n_dup_lines / greatest(n_lines, 1)",
-    "repeats": "n_repeat_words / greatest(n_words, 1)",
-    "distinct": "n_distinct / greatest(n_words, 1)",
-    "stops": "n_stops / greatest(n_words, 1)",
-    "capitals": "n_capitals / greatest(n_words, 1)",
-    "digits": "n_digits / greatest(n_words, 1)",
+    "n_words": lambda get: get("n_words").cast("double"),
+    "mean_word": _ratio("word_chars", "n_words"),
+    "symbols": _ratio("n_symbols", "n_words"),
+    "dup_lines": _ratio("n_dup_lines", "n_lines"),
+    "repeats": _ratio("n_repeat_words", "n_words"),
+    "distinct": _ratio("n_distinct", "n_words"),
+    "stops": _ratio("n_stops", "n_words"),
+    "capitals": _ratio("n_capitals", "n_words"),
+    "digits": _ratio("n_digits", "n_words"),
 }
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_distinct", "n_lines", "n_stops", "n_capitals", "n_digits")
 
@@ -105,10 +106,10 @@ class Rule:
 
     conditions: list[tuple[str, bool, float]] = field(default_factory=list)
 
-    def column(self) -> Column:
+    def column(self, get=F.col) -> Column:
         out = F.lit(True)
         for name, at_most, threshold in self.conditions:
-            value = F.expr(FEATURES[name])
+            value = FEATURES[name](get)
             out = out & (value <= threshold if at_most else value > threshold)
         return out
 
@@ -123,7 +124,7 @@ def _gain(p: float, n: float, p0: float, n0: float) -> float:
 def learn(statistics: DataFrame, labels: DataFrame) -> list[Rule]:
     """Rules for bad documents, in order, from the statistics of those with a quality label."""
     known = statistics.join(labels.filter("quality is not null").select("doc_id", (F.col("quality") == 0).cast("long").alias("bad")), "doc_id")
-    rows = known.select("bad", (F.pmod(F.xxhash64("doc_id"), F.lit(3)) == 0).alias("held"), *(F.expr(e).alias(c) for c, e in FEATURES.items()))
+    rows = known.select("bad", (F.pmod(F.xxhash64("doc_id"), F.lit(3)) == 0).alias("held"), *(e(F.col).alias(c) for c, e in FEATURES.items()))
     cuts = rows.select(*(F.percentile_approx(c, [i / BINS for i in range(1, BINS)], 2000).alias(c) for c in FEATURES)).first()
     cuts = {c: sorted(set(cuts[c] or ())) for c in FEATURES}
     if not any(cuts.values()):
@@ -174,19 +175,20 @@ def learn(statistics: DataFrame, labels: DataFrame) -> list[Rule]:
     return rules
 
 
-def verdict(rules: list[Rule]) -> Column:
+def verdict(rules: list[Rule], get=F.col) -> Column:
     """The list as one ordered conditional: the number of the first rule that fires (from 1), else 0."""
     out = F.when(F.lit(False), 0)
     for k, rule in enumerate(rules):
-        out = out.when(rule.column(), k + 1)
+        out = out.when(rule.column(get), k + 1)
     return out.otherwise(0)
 
 
-BASE_FAILED = "n_words < 20 or 100 * n_repeat_words > 30 * n_words"
+def base_failed(get=F.col) -> Column:
+    return (get("n_words") < 20) | (100 * get("n_repeat_words") > 30 * get("n_words"))
 
 
 def _judged(rows: DataFrame, rules: list[Rule]) -> DataFrame:
-    return rows.withColumn("base_failed", F.expr(BASE_FAILED)).withColumn("rule", verdict(rules)).withColumn("kept", ~F.col("base_failed") & (F.col("rule") == 0))
+    return rows.withColumn("base_failed", base_failed()).withColumn("rule", verdict(rules)).withColumn("kept", ~F.col("base_failed") & (F.col("rule") == 0))
 
 
 def statistics(docs: DataFrame) -> DataFrame:
@@ -202,10 +204,8 @@ def quality_rules(docs: DataFrame, labels: DataFrame) -> DataFrame:
 def quality_filter(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents that are kept, with their columns. The counts are computed again instead of moving texts through a join."""
     rules = learn(checkpoint(statistics(docs)), labels)
-    own = docs.withColumn("_judged", let(_counts(text_or_empty()), lambda c: c))
-    condition = F.expr(BASE_FAILED) | (verdict(rules) > 0)
-    flat = own.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"), "_judged.*")
-    return flat.filter(~condition).select("_row.*")
+    # One expression: as columns of their own, the counts would be computed again for each condition that is pushed below them.
+    return docs.filter(let(_counts(text_or_empty()), lambda c: ~base_failed(c.getItem) & (verdict(rules, c.getItem) == 0)))
 
 
 def op4_quality_rules(spark, sf_dir):
