@@ -47,8 +47,10 @@ PARENT_DISCOUNT, PARENT_STRENGTH = 0.6, 1.0
 #: Gibbs steps of each dish before its tables are sent to the parent, before the first sample, and the samples averaged.
 FIRST_STEPS, BURN_IN, SAMPLES = 3, 1, 4
 #: Characters of text for one bucket, and tokens of a unit.
-BUCKET_CHARS, UNIT_TOKENS = 16_000_000, 4_000_000
+BUCKET_CHARS, UNIT_TOKENS = 20_000_000, 5_000_000
 SEED = 11
+#: A bucket's sums travel as fixed-point numbers with so many binary places.
+SCORE_BITS, BASE_BITS = 16, 32
 #: Ids of the start of a text and of the end token; words have their hash.
 START, END = 1, 2
 
@@ -349,8 +351,19 @@ def _stage_d(partitions: int, hot):
         for (unit, _), (part, index) in zip(units, b.parts, strict=True):
             index, doc, times = np.repeat(index, part["entries"]), part["doc"], part["times"]
             there, place = np.unique(doc, return_inverse=True)
-            sums_ = [np.bincount(place, x[index] * times, len(there)) for x in (p, base, known)]
-            rows.append((unit, _dump(doc=np.diff(there, prepend=0).astype(np.int32), score=sums_[0], base=sums_[1], known=sums_[2].astype(np.int32), n=np.array([n_train], np.int64))))
+            total = lambda x, kind, bits=0: np.rint(np.bincount(place, x[index] * times, len(there)) * 2.0**bits).astype(kind)  # noqa: B023, E731
+            rows.append(
+                (
+                    unit,
+                    _dump(
+                        doc=np.diff(there, prepend=0).astype(np.int32),
+                        score=-total(p, np.int64, SCORE_BITS),
+                        base=-total(base, np.int64, BASE_BITS),
+                        known=total(known, np.int32),
+                        n=np.array([n_train], np.int64),
+                    ),
+                )
+            )
         docs = _payloads(left, True)
         return pa.table(
             {
@@ -367,7 +380,7 @@ def _stage_e(key, t):
     docs = [_load(p) for _, p in _payloads(t, True)]
     copies, docs = len(docs), docs[0]  # units of the same rows share a name and got their sums together
     n = len(docs["doc_id"])
-    score, base, known, train = np.zeros(n), np.zeros(n), np.zeros(n, np.int64), 0
+    score, base, known, train = (*(np.zeros(n, np.int64) for _ in range(3)), 0)
     for _, payload in _payloads(t, False):
         got = _load(payload)
         at = np.cumsum(got["doc"])
@@ -382,8 +395,8 @@ def _stage_e(key, t):
             "n_tokens": pa.array(docs["tokens"], pa.int64()),
             "n_known": pa.array(known // copies, pa.int64()),
             "train_tokens": pa.array(np.full(n, train, np.int64)),
-            "base_score": pa.array(base / copies, pa.float64()),
-            "score": pa.array(score / copies, pa.float64()),
+            "base_score": pa.array(0.0 - base / copies / 2.0**BASE_BITS, pa.float64()),
+            "score": pa.array(0.0 - score / copies / 2.0**SCORE_BITS, pa.float64()),
         }
     )
     return pa.concat_tables([out] * copies)
