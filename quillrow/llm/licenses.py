@@ -1,8 +1,8 @@
 r"""License scan by a positional rare-token index. DataFrame functions only.
 
 Licence phrases and notices are templates: word lists with positions. Document frequencies of all
-template words, over all documents, give their IDF. For a file, the licence words it holds are
-looked up from the rarest on; their postings (template, position) turn each place in the file into
+template words, over all documents, give their IDF. For a file, all indexed words it holds are
+looked up; their postings (template, position) turn each place in the file into
 an offset at which a template would have to begin, and the offset that most postings share is the
 template's alignment. A notice is found if enough of its rare words align and its mandatory key
 phrases stand in the file; a phrase is found at every place where its rarest word's posting aligns
@@ -64,8 +64,8 @@ NOTICES = {
         ("free and unencumbered software released into the public domain",),
     ),
 }
-#: A notice's rarest words that are indexed, a file's rarest licence words that are looked up, and the share of postings that must align.
-RARE, LOOKED_UP, ALIGNED = 8, 24, 0.6
+#: A notice's rarest words that are indexed, and the share of postings that must align.
+RARE, ALIGNED = 8, 0.6
 
 
 def file_words(text: Column) -> Column:
@@ -125,12 +125,11 @@ def scan(docs: DataFrame, idf: dict[str, float] | None = None) -> DataFrame:
     for label, (notice, keys) in NOTICES.items():
         said = notice.split()
         notices.append((label, {x: [i for i, y in enumerate(said) if y == x] for x in rarest(said)[:RARE]}, keys))
-    must = sorted({p[a] for (p, _), a in zip(phrases, anchors, strict=True)})
-    indexed = F.array(*map(F.lit, rarest([*must, *(x for _, postings, _ in notices for x in postings)])))
+    must = {p[a] for (p, _), a in zip(phrases, anchors, strict=True)}
+    indexed = F.array(*map(F.lit, sorted({*must, *(x for _, postings, _ in notices for x in postings)})))
 
     def labels_of(w: Column) -> Column:
-        looked_up = let(F.array_intersect(indexed, w), lambda x: F.array_union(F.slice(x, 1, LOOKED_UP), F.array_intersect(x, F.array(*map(F.lit, must)))))
-        at = let(looked_up, lambda x: F.when(F.size(x) == 0, F.array().cast("array<int>")).otherwise(F.filter(F.sequence(F.lit(0), F.size(w) - 1), lambda i: F.array_contains(x, F.get(w, i)))))
+        at = let(F.array_intersect(indexed, w), lambda x: F.when(F.size(x) == 0, F.array().cast("array<int>")).otherwise(F.filter(F.sequence(F.lit(0), F.size(w) - 1), lambda i: F.array_contains(x, F.get(w, i)))))
 
         def judge(i: Column) -> Column:
             found = [(label, _places(w, p, a, i)) for (p, label), a in zip(phrases, anchors, strict=True)]

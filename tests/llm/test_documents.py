@@ -331,6 +331,17 @@ def test_license_scan(make, awkward_rows):
     assert labels[203][0] == "" and labels[204][0] == "mit" and all(0 <= r["score"] <= 1 for r in found)
 
 
+def test_bundle_of_all_notices(make, awkward_rows):
+    """A file may hold every notice; none is lost to the number of licence words."""
+    whole = " x ".join(notice for notice, _ in licenses.NOTICES.values())
+    idf = licenses.rarity(make(awkward_rows))
+    common = dict.fromkeys(idf, 1.0) | {w: 9.0 for label in ("mit", "bsd-3", "isc") for w in licenses.NOTICES[label][0].split()}
+    for weights in (idf, common):
+        found = {r["doc_id"]: r for r in licenses.scan(make([(1, whole, "en", "a"), (2, "z " * 500 + whole, "en", "a")]), weights).collect()}
+        for i in (1, 2):
+            assert set(found[i]["labels"].split(",")) >= set(licenses.NOTICES) and found[i]["score"] == 1.0
+
+
 # -- language -----------------------------------------------------------------------------------
 
 
