@@ -5,7 +5,7 @@ one-versus-one linear support vector machines over hashed byte n-grams of the wh
 machines see all languages; machines inside a family only separate its close relatives.
 
 The machines are fitted on the driver from a bounded sample: at most ``PER_LANGUAGE`` labelled
-training documents of each language, the first by a hash, each as a vector of ``DIMENSIONS``
+distinct training texts of each language, the first by a hash, each as a vector of ``DIMENSIONS``
 numbers. Prediction reads every whole text.
 
 Defined cases: null texts and texts without a letter are ``und`` with score 0; so is every text if
@@ -53,6 +53,10 @@ def family(language: str) -> str:
 _TABLE = bytes(b if b >= 128 or chr(b).isalpha() else 32 for b in range(256))
 
 
+#: For the JVM: a letter, or a character too new for it to know, which has_letter() then judges.
+LETTER = r"[\p{L}\p{Cn}]"
+
+
 def has_letter(text: str | None) -> bool:
     return bool(text) and (re.search("[A-Za-z]", text) is not None or any(map(str.isalpha, text)))
 
@@ -150,11 +154,13 @@ def learn(rows: DataFrame, per_language: int = PER_LANGUAGE) -> Model:
     """Fits on rows (text, lang): at most per_language documents of each language."""
     ship()
     rows = rows.filter("lang is not null and text is not null").withColumn("hash", F.pmod(F.xxhash64("text"), F.lit(1 << 40)))
-    counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
+    # Copies and texts that has_letter() may refuse do not count as examples.
+    usable = F.when(F.col("text").rlike(LETTER), F.col("hash"))
+    counts = rows.groupBy("lang").agg(F.count("*").alias("count"), F.count_distinct(usable).alias("distinct")).orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
     if not counts:
         return Model()
-    reach = F.create_map(*(F.lit(v) for r in counts for v in (r["lang"], int((1 << 40) * min(1.0, 1.5 * per_language / r["count"])))))
-    sample = rows.filter(F.col("hash") < reach[F.col("lang")]).dropDuplicates(["lang", "hash"]).select("lang", "hash", "text")
+    reach = F.create_map(*(F.lit(v) for r in counts for v in (r["lang"], int((1 << 40) * min(1.0, 1.5 * per_language / max(1, r["distinct"]))))))
+    sample = rows.filter((F.col("hash") < reach[F.col("lang")]) & F.col("text").rlike(LETTER)).dropDuplicates(["lang", "hash"]).select("lang", "hash", "text")
     got = sample.mapInArrow(_vectors, "lang string, hash long, vector binary").filter("vector is not null").limit(2 * per_language * len(counts)).collect()
     got.sort(key=lambda r: (r["lang"], r["hash"]))
     taken: dict[str, list[bytes]] = {}

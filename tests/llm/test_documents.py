@@ -361,6 +361,19 @@ def test_language(make, awkward_rows):
     assert {r["lang_pred"] for r in language.identify(make([(k, "abc def", "xx", "a") for k in range(20)])).collect()} == {"xx"}
 
 
+def test_copies_do_not_thin_the_sample(spark, monkeypatch):
+    """Every distinct text is an example, however many rows are copies of one text or hold no letter."""
+    seen = []
+    monkeypatch.setattr(language, "fit", lambda x, labels: seen.append(Counter(labels)) or language.Model())
+    copies = spark.range(20_000).selectExpr("'the same words again' as text", "'en' as lang")
+    own = spark.range(30).selectExpr("concat('text number ', chr(int(97 + id % 26)), chr(int(97 + id / 26))) as text", "'en' as lang")
+    bare = spark.range(3_000).selectExpr("cast(id as string) as text", "'en' as lang")
+    language.learn(copies.union(own).union(bare), per_language=40)
+    many = spark.range(5_000).selectExpr("concat('x', translate(cast(id as string), '0123456789', 'abcdefghij')) as text", "'de' as lang")
+    language.learn(many.union(copies), per_language=40)
+    assert seen == [Counter(en=31), Counter(de=40, en=1)]
+
+
 # -- language model -----------------------------------------------------------------------------
 
 
