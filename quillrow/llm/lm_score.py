@@ -3,21 +3,25 @@
 Every word is the context of a restaurant whose customers are the words that follow it; all
 context restaurants share one parent, the restaurant of words alone, over a uniform base. Customers
 sit by the Chinese restaurant process; each table of a context restaurant is a customer of the
-parent. Seatings are sampled by Gibbs steps that take a random customer of each dish out and seat
-it anew, and predictive probabilities are averaged over samples.
+parent. Seatings are sampled by blocked Gibbs steps. The product of (strength + discount k) over a
+restaurant's tables is an integral over a gamma variable v; given v, the dishes are independent and
+a dish with c customers has t tables with a weight of S(c, t) (discount v p1)^t, S the generalized
+Stirling numbers. A step draws v for each restaurant, then all customers' tables of each dish at
+once. Predictive probabilities are averaged over samples.
 
 The counts are all (context, word) pairs of all training texts. Nothing of the size of the
 vocabulary is held in one place:
 
 A. a task turns its texts into units: per bucket of contexts, the pairs with their training counts
    and the documents they occur in;
-B. a bucket merges its units, seats its restaurants with a parent estimated from its own tables,
-   and sends word counts and tables to the partitions of the vocabulary;
+B. a bucket merges its units and sends word counts and one table for each pair to the partitions of
+   the vocabulary; with the parent that C makes of all buckets' tables, it seats its restaurants
+   and sends their tables;
 C. a vocabulary partition sums them, seats the parent's tables and answers each bucket;
 D. a bucket goes on seating with the answers, averages its predictions and sums them up by document;
 E. a unit's documents add up what the buckets sent.
 
-A's output is shuffled once and read by both B and D. Pairs travel as compressed arrays. Contexts
+A's output is shuffled once and read by B, twice, and by D. Pairs travel as compressed arrays. Contexts
 with more than half a bucket's share of all tokens are split by word, and their totals are summed
 in C. Buckets and partitions grow in number with the texts, so their size stays the same.
 
@@ -31,6 +35,7 @@ from __future__ import annotations
 
 import pickle
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -44,8 +49,10 @@ from quillrow.llm.common import ship, table, text_or_empty
 #: Discounts and strengths of context restaurants and of their parent.
 DISCOUNT, STRENGTH = 0.75, 1.0
 PARENT_DISCOUNT, PARENT_STRENGTH = 0.6, 1.0
-#: Gibbs steps of each dish before its tables are sent to the parent, before the first sample, and the samples averaged.
-FIRST_STEPS, BURN_IN, SAMPLES = 3, 1, 4
+#: Gibbs steps before tables are sent to the parent, before the first sample, and the samples averaged.
+FIRST_STEPS, BURN_IN, SAMPLES = 4, 4, 4
+#: Generalized Stirling numbers are tabled up to so many customers; beyond, they are a series of so many terms up to so many times customers ** discount tables.
+TABLED, TERMS, SERIES = 1024, 160, 2.5
 #: Characters of text for one bucket, and tokens of a unit.
 BUCKET_CHARS, UNIT_TOKENS = 20_000_000, 5_000_000
 SEED = 11
@@ -173,6 +180,81 @@ def _units(buckets: int, hot):
     return run
 
 
+@lru_cache(4)
+def _ratios(discount: float) -> np.ndarray:
+    """S(c, t + 1) / S(c, t) at [c, t], for c up to TABLED."""
+    out, row = np.zeros((TABLED + 1, TABLED + 1)), np.full(TABLED + 2, -np.inf)
+    row[1] = 0.0
+    t = np.arange(TABLED + 2)
+    for c in range(2, TABLED + 1):
+        row[1 : c + 1] = np.logaddexp(row[:c], np.log(np.maximum(c - 1 - t[1 : c + 1] * discount, 1e-300)) + row[1 : c + 1])
+        out[c, 1:c] = np.exp(row[2 : c + 1] - row[1:c])
+    return out
+
+
+def _log_gamma(x: np.ndarray) -> np.ndarray:
+    y = x + 8.0
+    return (y - 0.5) * np.log(y) - y + 0.5 * np.log(2 * np.pi) + 1 / (12 * y) - 1 / (360 * y**3) + 1 / (1260 * y**5) - sum(np.log(x + k) for k in range(8))
+
+
+def log_stirling(c: int, t: np.ndarray, discount: float) -> np.ndarray:
+    """log S(c, t) for c > TABLED: its alternating sum while that converges fast, the saddle point of its generating function beyond."""
+    switch = int(SERIES * c**discount)
+    out, few = np.zeros(len(t)), t <= switch
+    x = t[few].astype(float)[:, None]
+    j = np.arange(1, TERMS + 1)
+    # C(t, j) gamma(c - jd) gamma(1 + jd) sin(pi jd) / pi with alternating signs
+    logs = -_log_gamma(np.maximum(x - j, 0) + 1) - _log_gamma(j + 1.0) + _log_gamma(c - j * discount) + _log_gamma(1 + j * discount)
+    logs = np.where(j <= x, logs, -np.inf)
+    top = logs.max(axis=1, initial=-np.inf, keepdims=True)
+    total = (np.exp(logs - top) * (np.where(j % 2, 1.0, -1.0) * np.sin(np.pi * j * discount) / np.pi)).sum(axis=1)
+    out[few] = np.log(total) + top[:, 0] - t[few] * np.log(discount)
+    if few.all():
+        return out
+    x = np.append(t[~few], switch).astype(float)
+    low, high = np.full(len(x), -60.0), np.zeros(len(x))  # log of y = 1 - x
+    for _ in range(60):
+        y = np.exp(mid := (low + high) / 2)
+        over = x * (1 - y) * discount * y ** (discount - 1) > c * (1 - y**discount)
+        low, high = np.where(over, mid, low), np.where(over, high, mid)
+    y = np.minimum(np.exp((low + high) / 2), 1 - 1e-12)
+    spread = c * np.maximum(1 + (1 - y) * (1 - discount) / y - c / x, 1e-12)
+    logs = _log_gamma(np.array(c + 1.0)) - _log_gamma(x + 1) - x * np.log(discount) + x * np.log1p(-(y**discount)) - c * np.log1p(-y) - 0.5 * np.log(2 * np.pi * spread)
+    out[~few] = logs[:-1] - logs[-1] + log_stirling(c, np.array([switch]), discount)  # joined without a step
+    out[t == c] = 0.0
+    return out
+
+
+@lru_cache(4096)
+def _log_stirlings(c: int, most: int, discount: float) -> np.ndarray:
+    return log_stirling(c, np.arange(1, most + 1), discount)
+
+
+def draw_tables(c: np.ndarray, a: np.ndarray, discount: float, rng: np.random.Generator) -> np.ndarray:
+    """For each dish with c > 1 customers a number of tables t, drawn with a weight of S(c, t) a^t."""
+    out, ratios = np.ones(len(c), np.int64), _ratios(discount)
+    live = np.flatnonzero(c <= TABLED)
+    cl, al, last, t = c[live], a[live], np.ones(len(live)), 1  # last: the weight of t among all up to t
+    while len(live):
+        ratio = ratios[cl, t] * al
+        last = last * ratio / (1 + last * ratio)
+        t += 1
+        out[live[rng.random(len(live)) < last]] = t
+        on = (cl > t) & ((last > 1e-13) | (ratio > 0.9))
+        live, cl, al, last = live[on], cl[on], al[on], last[on]
+    for i in np.flatnonzero(c > TABLED).tolist():
+        n, most, log_a = int(c[i]), 64, np.log(a[i])
+        while True:
+            most = min(most, n)
+            logs = _log_stirlings(n, most, discount) + np.arange(1, most + 1) * log_a
+            if most == n or logs[-1] < logs.max() - 40:  # falls on from there
+                break
+            most *= 4
+        sums = np.cumsum(np.exp(logs - logs.max()))
+        out[i] = 1 + min(int(np.searchsorted(sums, rng.random() * sums[-1], side="right")), most - 1)
+    return out
+
+
 class _Bucket:
     """The merged pairs of a bucket. names: its words and contexts, sorted; u and w index them."""
 
@@ -199,66 +281,37 @@ class _Bucket:
     def tables_of_contexts(self) -> np.ndarray:
         return np.bincount(self.u, self.t, max(1, len(self.names)))
 
-    def first_seating(self, p1: np.ndarray) -> None:
-        """Seats the customers of dishes that have several, one after the other; later ones in doubling groups."""
-        self.many = np.flatnonzero(self.c > 1)
-        c, t = self.c[self.many], np.ones(len(self.many))
-        weight = (STRENGTH + DISCOUNT * self.tables_of_contexts()[self.u[self.many]]) * p1[self.w[self.many]]
-        k, step = 1, 1
-        while len(live := np.flatnonzero(c > k)):
-            add = np.minimum(step, c[live] - k)
-            chance = weight[live] / (weight[live] + np.maximum(k + add / 2 - DISCOUNT * t[live], 0.1))
-            t[live] += self.random.binomial(add, np.minimum(chance, 1))
-            k += step
-            step = step if k < 16 else k
-        t = np.minimum(t, c).astype(np.int64)
-        self.t[self.many] = t
-        # Slots for tables: the first holds all that are not alone at theirs, and some are left for later ones.
-        room = np.minimum(c, t + FIRST_STEPS + BURN_IN + SAMPLES)
-        self.since = np.concatenate(([0], np.cumsum(room)))
-        self.used = t.copy()
-        self.sizes = np.zeros(self.since[-1], np.int64)
-        slot = np.arange(self.since[-1]) - np.repeat(self.since[:-1], room)
-        self.sizes[slot < np.repeat(t, room)] = 1
-        self.sizes[self.since[:-1]] = c - t + 1
-
-    def _pick(self, weights: np.ndarray) -> np.ndarray:
-        """For each dish one of its tables, by weight."""
-        total = np.concatenate(([0.0], np.cumsum(weights)))
-        low, high = total[self.since[:-1]], total[self.since[1:]]
-        at = np.searchsorted(total, low + self.random.random(len(low)) * (high - low), side="right") - 1
-        at = np.clip(at, self.since[:-1], self.since[1:] - 1)
-        empty = weights[at] <= 0  # rounding at an edge
-        at[empty] = self.since[:-1][empty] + np.array([int(np.argmax(weights[a:b])) for a, b in zip(self.since[:-1][empty], self.since[1:][empty], strict=True)], np.int64)
-        return at
+    @property
+    def many(self) -> np.ndarray:
+        """The dishes with several customers."""
+        return np.flatnonzero(self.c > 1)
+
+    @property
+    def since(self) -> np.ndarray:
+        return np.concatenate(([0], np.cumsum(self.t[self.many])))
+
+    @property
+    def sizes(self) -> np.ndarray:
+        """Customers by table of these dishes: all are alone but those of the first. Predictions need the tables' number alone."""
+        out = np.ones(self.since[-1], np.int64)
+        out[self.since[:-1]] = self.c[self.many] - self.t[self.many] + 1
+        return out
 
     def step(self, p1: np.ndarray, tables: np.ndarray) -> None:
-        """One Gibbs step for each dish: a random customer leaves and is seated anew."""
-        if not len(self.many):
-            return
-        left = self._pick(self.sizes.astype(float))
-        self.sizes[left] -= 1
-        gone = self.sizes[left] == 0
-        t = self.t[self.many] - gone
-        new = (STRENGTH + DISCOUNT * np.maximum(tables[self.u[self.many]] - gone, 0)) * p1[self.w[self.many]]
-        old = np.maximum(self.c[self.many] - 1 - DISCOUNT * t, 0)
-        opens = (self.random.random(len(t)) * (new + old) < new) | (t == 0)
-        seat = self._pick(np.where(self.sizes > 0, self.sizes - DISCOUNT, 0.0)) if not opens.all() else left.copy()
-        fresh = np.where(gone, left, np.minimum(self.since[:-1] + self.used, self.since[1:] - 1))
-        self.used += opens & ~gone & (self.since[:-1] + self.used < self.since[1:])
-        seat[opens] = fresh[opens]
-        self.sizes[seat] += 1
-        self.t[self.many] = t + (self.sizes[seat] == 1)
-
-
-def _seated(payloads: list[bytes], hot) -> tuple[_Bucket, np.ndarray]:
-    """A bucket after its first steps, the parent estimated from the bucket's own tables."""
-    b = _Bucket(payloads, hot)
-    own = np.bincount(b.w, b.seated, max(1, len(b.names)))
-    p1 = (own + 0.5) / max(1.0, (own + 0.5).sum())
-    b.first_seating(p1)
+        """One Gibbs step: each context's latent weight given its tables, then each dish's tables given that weight."""
+        weight = DISCOUNT * self.random.gamma(STRENGTH / DISCOUNT + tables)
+        self.t[self.many] = draw_tables(self.c[self.many], weight[self.u[self.many]] * p1[self.w[self.many]], DISCOUNT, self.random)
+
+
+def _seated(b: _Bucket | list[bytes], hot, p1: np.ndarray | None = None) -> tuple[_Bucket, np.ndarray]:
+    """A bucket after its first steps; without a parent that is estimated from the bucket's own tables."""
+    b = _Bucket(b, hot) if isinstance(b, list) else b
+    if p1 is None:
+        own = np.bincount(b.w, b.seated, max(1, len(b.names)))
+        p1 = (own + 0.5) / max(1.0, (own + 0.5).sum())
+    parts = np.append(_split_of(b.names, hot), np.ones(int(not len(b.names)), np.uint64)).astype(np.int64)
     for _ in range(FIRST_STEPS):
-        b.step(p1, b.tables_of_contexts())
+        b.step(p1, b.tables_of_contexts() * parts)
     return b, p1
 
 
@@ -271,51 +324,79 @@ def _partition(names: np.ndarray, partitions: int) -> np.ndarray:
     return (_mix(names ^ np.uint64(0xABCDEF)) % np.uint64(partitions)).astype(np.int64)
 
 
-def _stage_b(partitions: int, hot):
+def _answered(b: _Bucket, rows: pa.Table, partitions: int, last: bool) -> tuple[dict[str, np.ndarray], np.ndarray, np.ndarray]:
+    """What the vocabulary partitions said of the bucket's words, first or last; their sums; the parent's probabilities."""
+    v = len(b.names)
+    to, sums = _partition(b.names, partitions), np.zeros(4)
+    got = {name: np.zeros(max(1, v)) for name in ("c", "customers", "tables", "cu", "tu")}
+    for k, is_last, payload in zip(*(rows.column(x).to_pylist() for x in ("part", "is_last", "payload")), strict=True):
+        if is_last == last:
+            arrays, mine = _load(payload), to == k
+            sums += arrays["sums"]
+            for name, array in got.items():
+                array[:v][mine] = arrays[name]
+    _, distinct, seated, parent_tables = sums
+    back = (PARENT_STRENGTH + PARENT_DISCOUNT * parent_tables) / (distinct + 1)
+    return got, sums, (np.maximum(got["customers"] - PARENT_DISCOUNT * got["tables"], 0) + back) / (PARENT_STRENGTH + seated)
+
+
+def _asked(b: _Bucket, bucket: int, partitions: int) -> pa.Table:
+    """The bucket's counts and tables, by vocabulary partition."""
+    v = len(b.names)
+    count, tables, cu, tu = (np.bincount(i, x, max(1, v))[:v].astype(np.int64) for i, x in ((b.w, b.c), (b.w, b.t), (b.u, b.c * b.split[b.u]), (b.u, b.t * b.split[b.u])))
+    to = _partition(b.names, partitions)
+    payloads = [_dump(names=np.diff(b.names[m := to == k], prepend=np.uint64(0)), c=count[m].astype(np.int32), t=tables[m].astype(np.int32), cu=cu[m], tu=tu[m]) for k in range(partitions)]
+    n = len(payloads)
+    return pa.table({"part": pa.array(range(n), pa.int32()), "bucket": pa.array([bucket] * n, pa.int32()), "payload": pa.array(payloads, pa.binary())})
+
+
+def _stage_types(partitions: int, hot):
+    """A bucket with one table for each dish."""
+
     def run(key, t):
-        b, _ = _seated([p for _, p in _payloads(t, False)], hot.value)
-        v = len(b.names)
-        count, tables, cu, tu = (np.bincount(i, x, max(1, v))[:v].astype(np.int64) for i, x in ((b.w, b.c), (b.w, b.t), (b.u, b.c * b.split[b.u]), (b.u, b.t * b.split[b.u])))
-        to = _partition(b.names, partitions)
-        payloads = [_dump(names=np.diff(b.names[m := to == k], prepend=np.uint64(0)), c=count[m].astype(np.int32), t=tables[m].astype(np.int32), cu=cu[m], tu=tu[m]) for k in range(partitions)]
-        n = len(payloads)
-        return pa.table({"part": pa.array(range(n), pa.int32()), "bucket": pa.array([key[0].as_py()] * n, pa.int32()), "payload": pa.array(payloads, pa.binary())})
+        return _asked(_Bucket([p for _, p in _payloads(t, False)], hot.value), key[0].as_py(), partitions)
+
+    return run
+
+
+def _stage_b(partitions: int, hot):
+    def run(key, left, right):
+        b = _Bucket([p for _, p in _payloads(left, False)], hot.value)
+        b, _ = _seated(b, hot.value, _answered(b, right, partitions, False)[2])
+        return _asked(b, key[0].as_py(), partitions)
 
     return run
 
 
-def _parent_tables(customers: np.ndarray, base: float, rng: np.random.Generator) -> np.ndarray:
-    """Mean tables of each dish of the parent over samples: customers sit one after the other, later ones in doubling groups."""
-    mean = np.zeros(len(customers))
-    for _ in range(SAMPLES):
-        t, k, step = (customers > 0).astype(float), 1, 1
-        while len(live := np.flatnonzero(customers > k)):
-            add = np.minimum(step, customers[live] - k)
-            t[live] += rng.binomial(add, np.minimum(base / (base + np.maximum(k + add / 2 - PARENT_DISCOUNT * t[live], 0.1)), 1))
-            k += step
-            step = step if k < 16 else k
-        mean += np.minimum(t, customers) / SAMPLES
+def _parent_tables(customers: np.ndarray, words: int, partitions: int, rng: np.random.Generator) -> np.ndarray:
+    """Mean tables of each dish of the parent over samples, by Gibbs steps like those of the contexts."""
+    t, mean = (customers > 0).astype(np.int64), np.zeros(len(customers))
+    many = np.flatnonzero(customers > 1)
+    for k in range(FIRST_STEPS + BURN_IN + SAMPLES):
+        weight = PARENT_DISCOUNT * rng.gamma(PARENT_STRENGTH / PARENT_DISCOUNT + t.sum() * partitions)
+        t[many] = draw_tables(customers[many], np.full(len(many), weight / (words + 1)), PARENT_DISCOUNT, rng)
+        if k >= FIRST_STEPS + BURN_IN:
+            mean += t / SAMPLES
     return mean
 
 
-def _stage_c(partitions: int):
+def _stage_c(partitions: int, last: bool):
     def run(key, t):
         rows = sorted(zip(t.column("bucket").to_pylist(), t.column("payload").to_pylist(), strict=True))
         parts = [_load(p) for _, p in rows]
         own = [np.cumsum(p["names"], dtype=np.uint64) for p in parts]
         names, index = np.unique(np.concatenate(own), return_inverse=True)
         total = {k: np.bincount(index, np.concatenate([p[k] for p in parts]), len(names)).astype(np.int64) for k in ("c", "t", "cu", "tu")}
-        # Partitions are alike: the parent's number of tables is about one for each word with a customer, over as many words.
-        seated = int((total["t"] > 0).sum())
-        base = (PARENT_STRENGTH + PARENT_DISCOUNT * seated * partitions) / max(1, seated * partitions + 1)
-        tables = _parent_tables(total["t"], base, np.random.default_rng([SEED, key[0].as_py()]))
+        # Partitions are alike: the parent's words and tables are as many times those of this one.
+        words = int((total["c"] > 0).sum()) * partitions
+        tables = _parent_tables(total["t"], words, partitions, np.random.default_rng([SEED, key[0].as_py()]))
         sums = np.array([total["c"].sum(), (total["c"] > 0).sum(), total["t"].sum(), tables.sum()], float)
         at, out = 0, []
         for (bucket, _), n in zip(rows, map(len, own), strict=True):
             i = index[at : at + n]
             at += n
             out.append((bucket, _dump(c=total["c"][i], customers=total["t"][i], tables=tables[i].astype(np.float32), cu=total["cu"][i], tu=total["tu"][i], sums=sums)))
-        return pa.table({"bucket": pa.array([b for b, _ in out], pa.int32()), "part": pa.array([key[0].as_py()] * len(out), pa.int32()), "payload": pa.array([p for _, p in out], pa.binary())})
+        return pa.table({"bucket": pa.array([b for b, _ in out], pa.int32()), "part": pa.array([key[0].as_py()] * len(out), pa.int32()), "is_last": pa.array([last] * len(out)), "payload": pa.array([p for _, p in out], pa.binary())})
 
     return run
 
@@ -323,26 +404,21 @@ def _stage_c(partitions: int):
 def _stage_d(partitions: int, hot):
     def run(key, left, right):
         units = _payloads(left, False)
-        b, _ = _seated([p for _, p in units], hot.value)
+        b = _Bucket([p for _, p in units], hot.value)
+        b, _ = _seated(b, hot.value, _answered(b, right, partitions, False)[2])  # as in B
         v = len(b.names)
-        to, sums = _partition(b.names, partitions), np.zeros(4)
-        c, customers, tables, cu, tu = (np.zeros(max(1, v)) for _ in range(5))
-        for k, payload in zip(right.column("part").to_pylist(), right.column("payload").to_pylist(), strict=True):
-            got, mine = _load(payload), to == k
-            sums += got["sums"]
-            for array, name in ((c, "c"), (customers, "customers"), (tables, "tables"), (cu, "cu"), (tu, "tu")):
-                array[:v][mine] = got[name]
-        n_train, distinct, seated, parent_tables = sums
-        back = (PARENT_STRENGTH + PARENT_DISCOUNT * parent_tables) / (distinct + 1)
-        p1 = (np.maximum(customers - PARENT_DISCOUNT * tables, 0) + back) / (PARENT_STRENGTH + seated)
+        got, (n_train, distinct, _, _), p1 = _answered(b, right, partitions, True)
+        c, cu, tu = got["c"], got["cu"], got["tu"]
         # A split context takes its totals from all its parts.
         all_c = np.where(np.append(b.split, np.zeros(max(1, v) - v, bool)), cu, b.cu)
-        others = np.where(np.append(b.split, np.zeros(max(1, v) - v, bool)), tu - b.tables_of_contexts(), 0)
+        split, own = np.append(b.split, np.zeros(max(1, v) - v, bool)), b.tables_of_contexts()
+        grow = np.where(split & (own > 0), tu / np.maximum(own, 1), 1)  # the other parts' tables change as this one's do
+        totals = lambda: np.where(split & (own == 0), tu, b.tables_of_contexts() * grow)  # noqa: B023, E731
         p = np.zeros(len(b.u))
         for k in range(BURN_IN + SAMPLES):
-            b.step(p1, b.tables_of_contexts() + others)
+            b.step(p1, totals())
             if k >= BURN_IN:
-                t = b.tables_of_contexts() + others
+                t = totals()
                 p += (b.c - DISCOUNT * b.t + (STRENGTH + DISCOUNT * t[b.u]) * p1[b.w]) / (STRENGTH + all_c[b.u]) / SAMPLES
         p = np.log10(p)
         base = np.log10((c[b.w] + 1) / (n_train + distinct + 1))
@@ -443,8 +519,11 @@ def score(docs: DataFrame, folds: int = 7, held: int = 2, bucket_chars: int = BU
     hot = context.broadcast((names[order], parts[order]))
 
     units = rows.mapInArrow(_units(buckets, hot), "bucket int, unit long, is_docs boolean, payload binary")
-    asked = units.groupBy("bucket").applyInArrow(_stage_b(buckets, hot), "part int, bucket int, payload binary")
-    answers = asked.groupBy("part").applyInArrow(_stage_c(buckets), "bucket int, part int, payload binary")
+    asked, answered = "part int, bucket int, payload binary", "bucket int, part int, is_last boolean, payload binary"
+    types = units.groupBy("bucket").applyInArrow(_stage_types(buckets, hot), asked)
+    first = types.groupBy("part").applyInArrow(_stage_c(buckets, False), answered)
+    tables = units.groupBy("bucket").cogroup(first.groupBy("bucket")).applyInArrow(_stage_b(buckets, hot), asked)
+    answers = first.union(tables.groupBy("part").applyInArrow(_stage_c(buckets, True), answered))
     summed = units.groupBy("bucket").cogroup(answers.groupBy("bucket")).applyInArrow(_stage_d(buckets, hot), "unit long, is_docs boolean, payload binary")
     return summed.groupBy("unit").applyInArrow(_stage_e, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 

@@ -414,6 +414,45 @@ def test_lm_predictions_sum_to_one():
         assert (b.t <= b.c).all() and (b.t[b.c > 0] >= 1).all()
 
 
+def _log_stirlings(c, discount):
+    row, t = np.full(c + 1, -np.inf), np.arange(c + 1)
+    row[1] = 0
+    for n in range(2, c + 1):
+        row[1 : n + 1] = np.logaddexp(row[:n], np.log(np.maximum(n - 1 - t[1 : n + 1] * discount, 1e-300)) + row[1 : n + 1])
+    return row[1:]
+
+
+@pytest.mark.parametrize("discount", [0.75, 0.6])
+def test_lm_stirling_numbers(discount):
+    found, true = lm_score.log_stirling(3000, np.arange(1, 2900), discount), _log_stirlings(3000, discount)[:2899]
+    assert np.abs(np.diff(found) - np.diff(true)).max() < 1e-3
+
+
+def test_lm_steps_reach_the_posterior():
+    """Frequent pairs are seated anew: the mean and spread of tables are those of the exact posterior."""
+    counts, p1 = (3000, 400), np.array([0.2, 0.4, 0.2, 0.2])
+    names = np.array([1, 2, 10, 11], np.uint64)
+    payload = lm_score._dump(
+        names=np.diff(names, prepend=np.uint64(0)), u=np.diff([0, 0], prepend=0).astype(np.int32), w=np.array([1, 2], np.int32),
+        trained=np.array(counts, np.int32), entries=np.ones(2, np.int32), doc=np.zeros(2, np.int32), times=np.ones(2, np.int32),
+    )
+    b, _ = lm_score._seated([payload], (np.zeros(0, np.uint64), np.zeros(0, np.uint64)))
+    seen = []
+    for _ in range(3000):
+        b.step(p1, b.tables_of_contexts())
+        seen.append(b.t.copy())
+    logs = [_log_stirlings(c, lm_score.DISCOUNT)[:400] + np.arange(1, 401) * np.log(p) for c, p in zip(counts, p1[1:3], strict=True)]
+    rising = np.concatenate(([0], np.cumsum(np.log(lm_score.STRENGTH + lm_score.DISCOUNT * np.arange(801)))))
+    both = logs[0][:, None] + logs[1][None, :] + rising[np.add.outer(np.arange(1, 401), np.arange(1, 401))]
+    both = np.exp(both - both.max()) / np.exp(both - both.max()).sum()
+    for axis in (0, 1):
+        own, at = both.sum(axis=1 - axis), np.arange(1, 401)
+        mean = (own * at).sum()
+        spread = math.sqrt((own * (at - mean) ** 2).sum())
+        draws = np.array(seen[50:])[:, axis]
+        assert abs(draws.mean() - mean) < 0.4 * spread and 0.7 * spread < draws.std() < 1.4 * spread
+
+
 # -- none at all --------------------------------------------------------------------------------
 
 
