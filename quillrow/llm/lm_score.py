@@ -131,7 +131,11 @@ def _unit(ids: list[np.ndarray], docs: list[tuple[int | None, bool]], vocabulary
     part = (names[w] >> np.uint64(20)) % _split_of(names, hot)[u]
     bucket = (_mix(names[u] + part * np.uint64(0x9E3779B97F4A7C15)) % np.uint64(buckets)).astype(np.int32)
 
-    digest = xxhash.xxh3_64_intdigest(pickle.dumps([d for d, _ in docs]) + lengths.tobytes() + code[:: max(1, len(code) // 4096)].tobytes())
+    # Units share a name only if their documents have the same ids and the same pairs of words.
+    digest = xxhash.xxh3_64(pickle.dumps([d for d, _ in docs]))
+    for array in (lengths, names, code, doc, times):
+        digest.update(np.ascontiguousarray(array).view(np.uint8).data)
+    digest = digest.intdigest()
     unit = digest - (1 << 63)
     by_bucket = np.argsort(bucket, kind="stable")
     cuts = np.searchsorted(bucket[by_bucket], np.arange(buckets + 1))

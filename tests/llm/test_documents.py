@@ -453,6 +453,18 @@ def test_lm_steps_reach_the_posterior():
         assert abs(draws.mean() - mean) < 0.4 * spread and 0.7 * spread < draws.std() < 1.4 * spread
 
 
+def test_lm_units_of_other_words_under_the_same_ids(spark):
+    """Tasks whose documents share ids and lengths but not words are scored apart."""
+    texts = ["a b", "c d", "a a a b b"]
+    parts = spark.sparkContext.parallelize([(None, "a b"), (None, "c d"), (4, texts[2])], 3)
+    found = lm_score.score(spark.createDataFrame(parts, "doc_id long, text string")).collect()
+    held = zlib.crc32(b"4") % 7 == 2
+    count = Counter(w for t in texts[: 2 if held else 3] for w in [*t.split(), None])
+    n, v = sum(count.values()), len(count)
+    expected = sorted(round(sum(math.log10((count[w] + 1) / (n + v + 1)) for w in [*t.split(), None]), 4) for t in texts)
+    assert not held and len(set(expected)) == 3 and sorted(round(r["base_score"], 4) for r in found) == expected
+
+
 # -- none at all --------------------------------------------------------------------------------
 
 
