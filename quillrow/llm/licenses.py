@@ -3,8 +3,8 @@ r"""License scan by a positional rare-token index. DataFrame functions only.
 Licence phrases and notices are templates: word lists with positions. Document frequencies of all
 template words, over all documents, give their IDF. For a file, all indexed words it holds are
 looked up; their postings (template, position) turn each place in the file into
-an offset at which a template would have to begin, and the offset that most postings share is the
-template's alignment. A notice is found if enough of its rare words align and its mandatory key
+an offset at which a template would have to begin, and the offset that most postings share, a few
+words more or less, is the template's alignment. A notice is found if enough of its rare words align and its mandatory key
 phrases stand in the file; a phrase is found at every place where its rarest word's posting aligns
 and all its other words stand at their relative positions.
 
@@ -64,8 +64,8 @@ NOTICES = {
         ("free and unencumbered software released into the public domain",),
     ),
 }
-#: A notice's rarest words that are indexed, and the share of postings that must align.
-RARE, ALIGNED = 8, 0.6
+#: A notice's rarest words that are indexed, the share of postings that must align, and the words by which their beginnings may differ.
+RARE, ALIGNED, SLACK = 8, 0.6, 4
 
 
 def file_words(text: Column) -> Column:
@@ -98,19 +98,21 @@ def _places(w: Column, phrase: list[str], anchor: int, at: Column) -> Column:
 
 
 def _aligned(w: Column, at: Column, postings: dict[str, list[int]]) -> Column:
-    """The most postings that agree on one beginning of the template."""
+    """The most postings, each counted once, that agree within SLACK words on one beginning of the template."""
+    number = {place: k for k, place in enumerate((word, p) for word, positions in postings.items() for p in positions)}
 
     def beginnings(i: Column) -> Column:
-        out = F.when(F.lit(False), F.array(F.lit(0)))
+        out = F.when(F.lit(False), F.array(F.lit(0).cast("long")))
         for word, positions in postings.items():
-            out = out.when(F.get(w, i) == word, F.array(*(i - p for p in positions)))
-        return F.coalesce(out, F.array().cast("array<int>"))
+            out = out.when(F.get(w, i) == word, F.array(*((i - p).cast("long") * 1024 + number[word, p] for p in positions)))
+        return F.coalesce(out, F.array().cast("array<bigint>"))
 
-    start = F.struct(F.lit(None).cast("int").alias("last"), F.lit(0).alias("run"), F.lit(0).alias("most"))
+    start = F.struct(F.array().cast("array<bigint>").alias("near"), F.lit(0).alias("most"))
 
     def count(s: Column, x: Column) -> Column:
-        run = F.when(s["last"] == x, s["run"] + 1).otherwise(F.lit(1))
-        return F.struct(x.alias("last"), run.alias("run"), F.greatest(s["most"], run).alias("most"))
+        near = F.array_append(F.filter(s["near"], lambda y: F.shiftright(y, 10) >= F.shiftright(x, 10) - SLACK), x)
+        agree = lambda n: F.size(F.array_distinct(F.transform(n, lambda y: y.bitwiseAND(1023))))
+        return let(near, lambda n: F.struct(n.alias("near"), F.greatest(s["most"], agree(n)).alias("most")))
 
     return F.aggregate(F.sort_array(F.flatten(F.transform(at, beginnings))), start, count, lambda s: s["most"])
 

@@ -342,6 +342,16 @@ def test_bundle_of_all_notices(make, awkward_rows):
             assert set(found[i]["labels"].split(",")) >= set(licenses.NOTICES) and found[i]["score"] == 1.0
 
 
+def test_numbered_notice(make, awkward_rows):
+    """A number before a clause is a word, and does not part the notice's postings."""
+    text = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer."
+    rare = "redistribution redistributions disclaimer retain binary modification permitted copyright".split()
+    idf = dict.fromkeys(licenses.template_words(), 1.0) | dict.fromkeys(rare, 9.0)
+    twice = "copyright x copyright x x copyright x x permitted " * 50
+    found = {r["doc_id"]: (r["labels"], r["score"]) for r in licenses.scan(make([(1, text, "en", "a"), (2, twice, "en", "a")]), idf).collect()}
+    assert found[1] == ("bsd-3", 1.0) and found[2][0] == "" and found[2][1] <= 0.5
+
+
 # -- language -----------------------------------------------------------------------------------
 
 
