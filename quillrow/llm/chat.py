@@ -15,7 +15,7 @@ it has some already), which ``unescape`` takes back, so ``read_back`` returns ev
 
 Defined cases: null text and null role count as empty; turns are ordered by turn (null first),
 place in the record, role, text; repeated rows are turns of their own; a record whose fingerprint
-no mapping knows gives no turns; a null conversation id is a conversation; an empty table gives an
+no mapping knows gives no turns and is a row of ``unrecognised``; a null conversation id is a conversation; an empty table gives an
 empty result. Columns that no mapping names are ignored. One output row holds a conversation, so a
 conversation has to fit into a row.
 """
@@ -42,7 +42,7 @@ class Mapping:
     """Field paths of a layout and where its turns are.
 
     turns: (role, paths): the texts at the paths, joined by an empty line, are a turn of that role.
-    listed: (array, role field, text field) for a list of messages. row: the record is one turn.
+    listed: (array, role field, text field) for a list of messages, after a system text if there is one. row: the record is one turn.
     """
 
     name: str
@@ -59,8 +59,8 @@ class Mapping:
 
 MAPPINGS = (
     Mapping("turn row", (), ("role", "text", "turn"), row=True),
-    Mapping("messages", ("messages[].content", "messages[].role"), listed=("messages", "role", "content")),
-    Mapping("from and value", ("conversations[].from", "conversations[].value"), listed=("conversations", "from", "value")),
+    Mapping("messages", ("messages[].content", "messages[].role"), ("system",), listed=("messages", "role", "content")),
+    Mapping("from and value", ("conversations[].from", "conversations[].value"), ("system",), listed=("conversations", "from", "value")),
     Mapping("prompt and completion", ("prompt",), ("completion", "system"), turns=(("system", ("system",)), ("user", ("prompt",)), ("assistant", ("completion",)))),
     Mapping("prompt and response", ("prompt", "response"), ("system",), turns=(("system", ("system",)), ("user", ("prompt",)), ("assistant", ("response",)))),
     Mapping("instruction", ("instruction",), ("input", "output", "system"), turns=(("system", ("system",)), ("user", ("instruction", "input")), ("assistant", ("output",)))),
@@ -94,6 +94,14 @@ def _message(role: str, said: str):
     return lambda x: F.struct(F.coalesce(named[x[role]], x[role].cast("string"), F.lit("")).alias("role"), F.coalesce(x[said].cast("string"), F.lit("")).alias("text"))
 
 
+def unrecognised(df: DataFrame, id_column: str = "conv_id") -> DataFrame:
+    """The records that give no turns as no mapping knows their fingerprint: id and fingerprint."""
+    paths = set(field_paths(df.schema))
+    known = [F.xxhash64(F.lit(x)) for m in MAPPINGS if paths.issuperset(m.needs) for x in m.layouts()]
+    rows = df.select(F.col(id_column).alias(id_column), fingerprint(df).alias("fingerprint"))
+    return rows.filter(~F.col("fingerprint").isin(known)) if known else rows
+
+
 def canonical_turns(df: DataFrame, id_column: str = "conv_id") -> DataFrame:
     """A row for each turn: the id, turn, place, role, text and the layout that was recognised."""
     paths = set(field_paths(df.schema))
@@ -108,6 +116,9 @@ def canonical_turns(df: DataFrame, id_column: str = "conv_id") -> DataFrame:
             out = F.array(F.struct(text("role").alias("role"), text("text").alias("text")))
         elif m.listed:
             out = F.transform(m.listed[0], _message(*m.listed[1:]))
+            if "system" in paths:
+                said = F.array(F.struct(F.lit("system").alias("role"), F.col("system").cast("string").alias("text")))
+                out = F.when(F.col("system").isNotNull(), F.concat(said, out)).otherwise(out)
         else:
             parts = []
             for role, sources in m.turns:

@@ -47,6 +47,18 @@ def test_layouts_are_recognised(spark):
     assert 10 not in found and found[7]["layouts"] == ["question and answer"]
 
 
+def test_lists_beside_other_columns(spark):
+    messages, shares = "array<struct<role:string,content:string>>", "array<struct<from:string,value:string>>"
+    said = [("user", "q"), ("assistant", "a")]
+    rows = [(1, said, None, "be brief", None), (2, None, said, "be brief", None), (3, said, None, None, None), (4, said, None, None, "p"), (5, None, said, "s", "p")]
+    df = spark.createDataFrame(rows, f"conv_id long, messages {messages}, conversations {shares}, system string, prompt string")
+    found = {r["conv_id"]: r["formatted"] for r in chat.format_chats(df).collect()}
+    plain = "<s>[INST] q [/INST]</s><s>a</s>"
+    assert found[1] == found[2] == "<s>[SYS] be brief [/SYS]</s>" + plain and found[3] == plain
+    lost = chat.unrecognised(df).collect()
+    assert {r["conv_id"] for r in lost} == {4, 5} - set(found) and len({r["fingerprint"] for r in lost}) == len(lost) == 2
+
+
 def test_query_plants_its_conversation(spark, tmp_path):
     spark.createDataFrame([(0, 0, "user", "x")], "conv_id long, turn long, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
     found = {r["conv_id"]: r for r in chat.op2_chat_formatting(spark, str(tmp_path)).collect()}
