@@ -161,6 +161,20 @@ def _best_pattern(value: np.ndarray, sizes: np.ndarray, capacity: int) -> np.nda
     return out
 
 
+def _inverse(a: np.ndarray) -> np.ndarray:
+    """By Gauss-Jordan steps. Like all of ``solve`` without BLAS or LAPACK, whose threads can wait for ever in a driver beside Spark."""
+    n = len(a)
+    both = np.concatenate((a, np.eye(n)), axis=1)
+    for k in range(n):
+        at = k + int(np.abs(both[k:, k]).argmax())
+        both[[k, at]] = both[[at, k]]
+        both[k] /= both[k, k]
+        rate = both[:, k].copy()
+        rate[k] = 0
+        both -= rate[:, None] * both[k]
+    return both[:, n:]
+
+
 def solve(sizes: np.ndarray, demand: np.ndarray, capacity: int, gap: float = 1e-3, rounds: int = 3000) -> tuple[np.ndarray, np.ndarray]:
     """Patterns (rows: classes, columns: patterns) and how often the linear program uses each.
 
@@ -168,28 +182,30 @@ def solve(sizes: np.ndarray, demand: np.ndarray, capacity: int, gap: float = 1e-
     """
     basis = np.diag(capacity // sizes).astype(float)
     inverse = np.diag(1.0 / np.diag(basis))
-    used = inverse @ demand
+    times = lambda v: (inverse * v).sum(axis=1)
+    used = times(demand)
     ready = [p for p, _ in _greedy(sizes, demand.astype(int), capacity)]  # a good start, before patterns are priced
     for step in range(1, rounds):
         duals = inverse.sum(axis=0)
-        pattern = max(ready, key=lambda p: duals @ p, default=None)
-        if pattern is None or duals @ pattern <= 1 + gap:
+        worth = lambda p: float((duals * p).sum())  # noqa: B023, E731
+        pattern = max(ready, key=worth, default=None)
+        if pattern is None or worth(pattern) <= 1 + gap:
             ready, pattern = [], _best_pattern(duals, sizes, capacity)
-        if duals @ pattern <= 1 + gap:
+        if worth(pattern) <= 1 + gap:
             break
-        rate = inverse @ pattern
+        rate = times(pattern)
         ratio = np.where(rate > 1e-9, used / np.where(rate > 1e-9, rate, 1), np.inf)
         out = int(ratio.argmin())
         used = np.maximum(used - ratio[out] * rate, 0)
         used[out] = ratio[out]
         basis[:, out] = pattern
         if step % 100 == 0:  # keeps rounding errors from piling up
-            inverse = np.linalg.inv(basis)
-            used = np.maximum(inverse @ demand, 0)
+            inverse = _inverse(basis)
+            used = np.maximum(times(demand), 0)
         else:
             inverse[out] /= rate[out]
             rate[out] = 0
-            inverse -= np.outer(rate, inverse[out])
+            inverse -= rate[:, None] * inverse[out]
     return basis, used
 
 

@@ -271,6 +271,31 @@ def test_column_generation_is_tight():
     assert packing.plan({}, 256) == []
 
 
+def test_long_programs_end_beside_spark(spark, monkeypatch):
+    """Hundreds of pricing steps, with new inverses, in a process that runs Spark and the tokenizer."""
+    import threading
+
+    from tokenizers import Tokenizer
+
+    a = np.random.default_rng(1).normal(size=(40, 40))
+    assert np.allclose((a[:, :, None] * packing._inverse(a)[None]).sum(axis=1), np.eye(40))
+    assert spark.range(1000).selectExpr("sum(id)").first()[0] == 499_500
+    tokenizer = Tokenizer.from_file(packing.tokenizer_path())
+    assert len(tokenizer.encode_batch(["some words"] * 1000)) == 1000
+    steps, price, inverses, inverse = [], packing._best_pattern, [], packing._inverse
+    monkeypatch.setattr(packing, "_greedy", lambda *a: [])
+    monkeypatch.setattr(packing, "_best_pattern", lambda *a: steps.append(1) or price(*a))
+    monkeypatch.setattr(packing, "_inverse", lambda x: inverses.append(1) or inverse(x))
+    demand = np.random.default_rng(4).integers(1, 5000, 256).astype(float)
+    out = []
+    thread = threading.Thread(target=lambda: out.append(packing.solve(np.arange(1, 257), demand, 1009, gap=0.0, rounds=450)), daemon=True)
+    thread.start()
+    thread.join(180)
+    assert not thread.is_alive() and len(steps) > 300 and len(inverses) > 2
+    basis, used = out[0]
+    assert np.allclose((basis * used).sum(axis=1), demand) and (used >= 0).all()
+
+
 # -- sharding -----------------------------------------------------------------------------------
 
 
