@@ -1,12 +1,14 @@
 r"""License scan by a positional rare-token index. DataFrame functions only.
 
 Licence phrases and notices are templates: word lists with positions. Document frequencies of all
-template words, over all documents, give their IDF. For a file, all indexed words it holds are
-looked up; their postings (template, position) turn each place in the file into
-an offset at which a template would have to begin, and the offset that most postings share, a few
-words more or less, is the template's alignment. A notice is found if enough of its rare words align and its mandatory key
-phrases stand in the file; a phrase is found at every place where its rarest word's posting aligns
-and all its other words stand at their relative positions.
+template words, over all documents, give their IDF; the rarest words of each template go into an
+index, a table of word to (template, position). For a file, all indexed words it holds are looked
+up; their postings turn each place in the file into an offset at which a template would have to
+begin, and the offset that most postings share, a few words more or less, is the template's
+alignment. A notice is found if enough of its rare words align and its mandatory key phrases stand
+in the file; a phrase is found at every place where its rarest word's posting aligns and all its
+other words stand at their relative positions. Index and templates are constants of the plan, so
+its size does not depend on their number.
 
 Defined cases: null text is empty; a file without licence words has no label, score 0 and null
 word positions; words are lower-cased; repeated rows are scanned each; an empty table gives an
@@ -15,7 +17,9 @@ empty result. Other columns are ignored.
 
 from __future__ import annotations
 
+import json
 import math
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -63,13 +67,167 @@ NOTICES = {
         " distribute this software",
         ("free and unencumbered software released into the public domain",),
     ),
+    "bsd-4": (
+        "all advertising materials mentioning features or use of this software must display the following acknowledgement this product includes software developed by",
+        ("all advertising materials mentioning features or use of this software",),
+    ),
+    "gpl-2": (
+        "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free"
+        " software foundation either version 2 of the license or at your option any later version",
+        ("gnu general public license as published by the free software foundation", "version 2 of the license"),
+    ),
+    "gpl-3-or-later": (
+        "you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either"
+        " version 3 of the license or at your option any later version",
+        ("gnu general public license as published by the free software foundation", "version 3 of the license"),
+    ),
+    "lgpl-2.1": (
+        "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by"
+        " the free software foundation either version 2 1 of the license or at your option any later version",
+        ("gnu lesser general public license", "version 2 1 of the license"),
+    ),
+    "lgpl-3": (
+        "under the terms of the gnu lesser general public license as published by the free software foundation either version 3 of the license or at your"
+        " option any later version",
+        ("gnu lesser general public license", "version 3 of the license"),
+    ),
+    "agpl-3": (
+        "under the terms of the gnu affero general public license as published by the free software foundation either version 3 of the license or at your"
+        " option any later version",
+        ("gnu affero general public license",),
+    ),
+    "gfdl-1.3": (
+        "permission is granted to copy distribute and or modify this document under the terms of the gnu free documentation license version 1 3 or any"
+        " later version published by the free software foundation with no invariant sections no front cover texts and no back cover texts",
+        ("gnu free documentation license",),
+    ),
+    "epl-1": (
+        "this program and the accompanying materials are made available under the terms of the eclipse public license v1 0 which accompanies this distribution",
+        ("eclipse public license v1 0",),
+    ),
+    "epl-2": (
+        "this program and the accompanying materials are made available under the terms of the eclipse public license 2 0 which is available at https www"
+        " eclipse org legal epl 2 0",
+        ("eclipse public license 2 0",),
+    ),
+    "cddl-1": (
+        "the contents of this file are subject to the terms of the common development and distribution license the license you may not use this file except"
+        " in compliance with the license",
+        ("common development and distribution license",),
+    ),
+    "mpl-1.1": (
+        "the contents of this file are subject to the mozilla public license version 1 1 the license software distributed under the license is distributed"
+        " on an as is basis without warranty of any kind either express or implied",
+        ("mozilla public license version 1 1",),
+    ),
+    "bsl-1": (
+        "permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered"
+        " by this license the software to use reproduce display distribute execute and transmit the software and to prepare derivative works",
+        ("any person or organization obtaining a copy", "covered by this license"),
+    ),
+    "zlib": (
+        "this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages arising from"
+        " the use of this software permission is granted to anyone to use this software for any purpose including commercial applications and to alter it"
+        " and redistribute it freely",
+        ("including commercial applications and to alter it and redistribute it freely",),
+    ),
+    "wtfpl": (
+        "do what the fuck you want to public license terms and conditions for copying distribution and modification 0 you just do what the fuck you want to",
+        ("do what the fuck you want to",),
+    ),
+    "artistic-2": (
+        "the artistic license 2 0 everyone is permitted to copy and distribute verbatim copies of this license document but changing it is not allowed this"
+        " license establishes the terms under which a given free software package may be copied modified distributed and or redistributed",
+        ("artistic license", "given free software package may be copied"),
+    ),
+    "postgresql": (
+        "permission to use copy modify and distribute this software and its documentation for any purpose without fee and without a written agreement is"
+        " hereby granted provided that the above copyright notice and this paragraph and the following two paragraphs appear in all copies",
+        ("without a written agreement", "this paragraph and the following two paragraphs"),
+    ),
+    "ms-pl": (
+        "microsoft public license this license governs use of the accompanying software if you use the software you accept this license if you do not accept"
+        " the license do not use the software",
+        ("microsoft public license", "governs use of the accompanying software"),
+    ),
+    "ms-rl": (
+        "microsoft reciprocal license this license governs use of the accompanying software if you use the software you accept this license if you do not"
+        " accept the license do not use the software",
+        ("microsoft reciprocal license", "governs use of the accompanying software"),
+    ),
+    "eupl-1.2": (
+        "licensed under the eupl version 1 2 or as soon they will be approved by the european commission subsequent versions of the eupl the licence you may"
+        " not use this work except in compliance with the licence",
+        ("european commission", "subsequent versions of the eupl"),
+    ),
+    "ofl-1.1": (
+        "this font software is licensed under the sil open font license version 1 1 this license is copied below and is also available with a faq at",
+        ("sil open font license",),
+    ),
+    "ncsa": (
+        "to deal with the software without restriction redistributions in binary form must reproduce the above copyright notice this list of conditions and"
+        " the following disclaimers in the documentation neither the names of nor the names of its contributors may be used to endorse or promote products"
+        " derived from this software without specific prior written permission",
+        ("to deal with the software without restriction", "the following disclaimers"),
+    ),
+    "psf-2": (
+        "this license agreement is between the python software foundation psf and the individual or organization licensee accessing and otherwise using this"
+        " software python in source or binary form and its associated documentation",
+        ("python software foundation", "otherwise using"),
+    ),
+    "0bsd": (
+        "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted the software is provided as is"
+        " and the author disclaims all warranties with regard to this software",
+        ("with or without fee is hereby granted the software is provided as is",),
+    ),
+    "cc0-1": (
+        "to the extent possible under law the author has waived all copyright and related or neighboring rights to this work",
+        ("waived all copyright and related or neighboring rights",),
+    ),
+    "cc-by-4": (
+        "this work is licensed under a creative commons attribution 4 0 international license to view a copy of this license visit http creativecommons org"
+        " licenses by 4 0",
+        ("creative commons attribution 4 0 international",),
+    ),
+    "cc-by-sa-4": (
+        "this work is licensed under a creative commons attribution sharealike 4 0 international license to view a copy of this license visit http"
+        " creativecommons org licenses by sa 4 0",
+        ("creative commons attribution sharealike 4 0 international",),
+    ),
+    "cc-by-nc-4": (
+        "this work is licensed under a creative commons attribution noncommercial 4 0 international license to view a copy of this license visit http"
+        " creativecommons org licenses by nc 4 0",
+        ("creative commons attribution noncommercial 4 0 international",),
+    ),
+    "cc-by-nd-4": (
+        "this work is licensed under a creative commons attribution noderivatives 4 0 international license to view a copy of this license visit http"
+        " creativecommons org licenses by nd 4 0",
+        ("creative commons attribution noderivatives 4 0 international",),
+    ),
+    "beerware": (
+        "the beer ware license wrote this file as long as you retain this notice you can do whatever you want with this stuff if we meet some day and you"
+        " think this stuff is worth it you can buy me a beer in return",
+        ("as long as you retain this notice you can do whatever you want with this stuff",),
+    ),
+    "vim": (
+        "there are no restrictions on distributing unmodified copies of vim except that they must include this license text",
+        ("distributing unmodified copies of vim",),
+    ),
+    "openssl": (
+        "this product includes software developed by the openssl project for use in the openssl toolkit",
+        ("for use in the openssl toolkit",),
+    ),
+    "json": ("the software shall be used for good not evil", ("shall be used for good not evil",)),
+    "osl-3": ("licensed under the open software license version 3 0", ("open software license version 3 0",)),
+    "afl-3": ("licensed under the academic free license version 3 0", ("academic free license version 3 0",)),
 }
 #: A notice's rarest words that are indexed, the share of postings that must align, and the words by which their beginnings may differ.
 RARE, ALIGNED, SLACK = 8, 0.6, 4
 
 
 def file_words(text: Column) -> Column:
-    return F.array_remove(F.split(F.lower(text), GAPS), "")
+    """A file's words. Templates are ASCII, so of all other letters only the Kelvin sign, whose lower case is an ASCII k, must be kept from lower()."""
+    return F.array_remove(F.split(F.lower(F.replace(text, F.lit("\u212a"), F.lit("\u1d0b"))), GAPS), "")
 
 
 def template_words() -> list[str]:
@@ -77,81 +235,130 @@ def template_words() -> list[str]:
 
 
 def rarity(docs: DataFrame) -> dict[str, float]:
-    """IDF of each template word over all documents: a table of fixed size."""
-    vocabulary = F.array(*map(F.lit, template_words()))
-    held = docs.select(F.array_intersect(vocabulary, file_words(text_or_empty())).alias("held"))
-    counts = held.agg(F.count("*").alias("n"), *(F.count_if(F.array_contains("held", w)).alias(f"w{k}") for k, w in enumerate(template_words()))).first()
-    return {w: math.log((counts["n"] + 1) / (counts[f"w{k}"] + 1)) for k, w in enumerate(template_words())}
+    """IDF of each template word over all documents. One row for each template word reaches the driver."""
+    vocabulary = template_words()
+    held = docs.select(F.explode(F.concat(F.array(F.lit("")), F.array_intersect(F.array(*map(F.lit, vocabulary)), file_words(text_or_empty())))).alias("word"))
+    counts = {r["word"]: r["count"] for r in held.groupBy("word").count().collect()}  # the empty word stands once in each document
+    return {w: math.log((counts.get("", 0) + 1) / (counts.get(w, 0) + 1)) for w in vocabulary}
+
+
+@dataclass(frozen=True)
+class Index:
+    """The templates' postings, as data: columns that hold one constant each, whatever the number of templates."""
+
+    #: All words that stand in the two maps.
+    words: Column
+    #: word -> (template, its place there, number of the posting in the template) for the rare words of each notice.
+    postings: Column
+    #: By notice: label, number of postings, mandatory phrases.
+    notices: Column
+    #: word -> numbers of the phrases whose rarest word it is.
+    anchors: Column
+    #: By phrase: label, words, place of the rarest.
+    phrases: Column
+
+
+def index(idf: dict[str, float]) -> Index:
+    constant = lambda value, kind: F.from_json(F.lit(json.dumps(value)), kind)
+    rarest = lambda found: sorted(set(found), key=lambda x: (-idf[x], x))
+    postings, notices, anchors, phrases = {}, [], {}, []
+    for template, (label, (notice, keys)) in enumerate(NOTICES.items()):
+        said = notice.split()
+        rare = set(rarest(said)[:RARE])
+        places = [p for p, word in enumerate(said) if word in rare]
+        for number, p in enumerate(places):
+            postings.setdefault(said[p], []).append({"template": template, "place": p, "number": number})
+        notices.append({"label": label, "postings": len(places), "keys": [f" {k} " for k in keys]})
+    for k, (phrase, label) in enumerate(PHRASES.items()):
+        said = phrase.split()
+        anchors.setdefault(rarest(said)[0], []).append(k)
+        phrases.append({"label": label, "words": said, "anchor": said.index(rarest(said)[0])})
+    return Index(
+        constant(sorted({*postings, *anchors}), "array<string>"),
+        constant(postings, "map<string,array<struct<template:int,place:int,number:int>>>"),
+        constant(notices, "array<struct<label:string,postings:int,keys:array<string>>>"),
+        constant(anchors, "map<string,array<int>>"),
+        constant(phrases, "array<struct<label:string,words:array<string>,anchor:int>>"),
+    )
 
 
-def _places(w: Column, phrase: list[str], anchor: int, at: Column) -> Column:
-    """Starts of the phrase, from the places of its anchor word."""
+def _empty(kind: str) -> Column:
+    return F.array().cast(f"array<{kind}>")
 
-    def stands(i: Column) -> Column:
-        out = F.get(w, i) == phrase[anchor]
-        for k, word in enumerate(phrase):
-            if k != anchor:
-                out = out & F.coalesce(F.get(w, i + (k - anchor)) == word, F.lit(False))
-        return out
 
-    return F.transform(F.filter(at, stands), lambda i: i - anchor)
+def _phrases_at(ix: Index, w: Column, i: Column) -> Column:
+    """(start, label) of the phrases whose rarest word stands at place i and the others beside it."""
 
+    def found(k: Column) -> Column:
+        phrase = F.get(ix.phrases, k)
+        start = i - phrase["anchor"]
+        stands = F.when(start >= 0, F.slice(w, start + 1, F.size(phrase["words"])) == phrase["words"])
+        return F.when(stands, F.struct(start.alias("start"), phrase["label"].alias("label")))
 
-def _aligned(w: Column, at: Column, postings: dict[str, list[int]]) -> Column:
-    """The most postings, each counted once, that agree within SLACK words on one beginning of the template."""
-    number = {place: k for k, place in enumerate((word, p) for word, positions in postings.items() for p in positions)}
+    return F.array_compact(F.transform(F.coalesce(F.try_element_at(ix.anchors, F.get(w, i)), _empty("int")), found))
 
-    def beginnings(i: Column) -> Column:
-        out = F.when(F.lit(False), F.array(F.lit(0).cast("long")))
-        for word, positions in postings.items():
-            out = out.when(F.get(w, i) == word, F.array(*((i - p).cast("long") * 1024 + number[word, p] for p in positions)))
-        return F.coalesce(out, F.array().cast("array<bigint>"))
 
-    start = F.struct(F.array().cast("array<bigint>").alias("near"), F.lit(0).alias("most"))
+def _alignments(ix: Index, w: Column, at: Column) -> Column:
+    """(template, most): for each notice with a posting at one of the places, the most postings, each counted once, that agree within SLACK words on its beginning."""
+    posting = "struct<template:int,begin:int,number:int>"
+    begun = lambda i: F.transform(
+        F.coalesce(F.try_element_at(ix.postings, F.get(w, i)), _empty("struct<template:int,place:int,number:int>")),
+        lambda p: F.struct(p["template"].alias("template"), (i - p["place"]).alias("begin"), p["number"].alias("number")),
+    )
+    start = F.struct(F.lit(-1).alias("template"), _empty(posting).alias("near"), F.lit(0).alias("most"), _empty("struct<template:int,most:int>").alias("found"))
+    closed = lambda s: F.array_append(s["found"], F.struct(s["template"].alias("template"), s["most"].alias("most")))
+
+    def count(s: Column, x: Column) -> Column:  # postings come by template and beginning
+        same = s["template"] == x["template"]
+        near = F.array_append(F.filter(s["near"], lambda y: (y["template"] == x["template"]) & (y["begin"] >= x["begin"] - SLACK)), x)
+        agree = lambda n: F.size(F.array_distinct(F.transform(n, lambda y: y["number"])))
+        return let(
+            near,
+            lambda n: F.struct(
+                x["template"].alias("template"),
+                n.alias("near"),
+                F.greatest(F.when(same, s["most"]).otherwise(0), agree(n)).alias("most"),
+                F.when(same, s["found"]).otherwise(closed(s)).alias("found"),
+            ),
+        )
+
+    return F.aggregate(F.sort_array(F.flatten(F.transform(at, begun))), start, count, lambda s: F.filter(closed(s), lambda f: f["template"] >= 0))
+
 
-    def count(s: Column, x: Column) -> Column:
-        near = F.array_append(F.filter(s["near"], lambda y: F.shiftright(y, 10) >= F.shiftright(x, 10) - SLACK), x)
-        agree = lambda n: F.size(F.array_distinct(F.transform(n, lambda y: y.bitwiseAND(1023))))
-        return let(near, lambda n: F.struct(n.alias("near"), F.greatest(s["most"], agree(n)).alias("most")))
+def _judged(ix: Index, w: Column, at: Column) -> Column:
+    """(starts, base, shares) of a file's words, given the places of the indexed ones."""
 
-    return F.aggregate(F.sort_array(F.flatten(F.transform(at, beginnings))), start, count, lambda s: s["most"])
+    def share(f: Column, sure: Column) -> Column:
+        notice = F.get(ix.notices, f["template"])
+        value = f["most"] / notice["postings"]
+        return F.struct(notice["label"].alias("label"), value.alias("share"), ((value >= ALIGNED) & sure).alias("sure"))
+
+    def shares(found: Column) -> Column:
+        enough = F.exists(found, lambda f: f["most"] / F.get(ix.notices, f["template"])["postings"] >= ALIGNED)
+        said = F.concat(F.lit(" "), F.array_join(w, " "), F.lit(" "))  # only where a notice may stand
+        verified = let(said, lambda t: F.transform(found, lambda f: share(f, F.forall(F.get(ix.notices, f["template"])["keys"], lambda k: t.contains(k)))))
+        return F.when(enough, verified).otherwise(F.transform(found, lambda f: share(f, F.lit(False))))
+
+    phrases = F.flatten(F.transform(at, lambda i: _phrases_at(ix, w, i)))
+    return let(
+        phrases,
+        lambda p: F.struct(
+            F.sort_array(F.transform(p, lambda x: x["start"])).alias("starts"),
+            F.transform(p, lambda x: x["label"]).alias("base"),
+            let(_alignments(ix, w, at), shares).alias("shares"),
+        ),
+    )
 
 
 def scan(docs: DataFrame, idf: dict[str, float] | None = None) -> DataFrame:
     """One row per document: doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score, phrase_starts."""
-    idf = rarity(docs) if idf is None else idf
-    rarest = lambda found: sorted(set(found), key=lambda x: (-idf[x], x))
-    phrases = [(p.split(), label) for p, label in PHRASES.items()]
-    anchors = [p.index(rarest(p)[0]) for p, _ in phrases]
-    notices = []
-    for label, (notice, keys) in NOTICES.items():
-        said = notice.split()
-        notices.append((label, {x: [i for i, y in enumerate(said) if y == x] for x in rarest(said)[:RARE]}, keys))
-    must = {p[a] for (p, _), a in zip(phrases, anchors, strict=True)}
-    indexed = F.array(*map(F.lit, sorted({*must, *(x for _, postings, _ in notices for x in postings)})))
+    ix = index(rarity(docs) if idf is None else idf)
+    nothing = F.struct(_empty("int").alias("starts"), _empty("string").alias("base"), _empty("struct<label:string,share:double,sure:boolean>").alias("shares"))
 
     def labels_of(w: Column) -> Column:
-        at = let(F.array_intersect(indexed, w), lambda x: F.when(F.size(x) == 0, F.array().cast("array<int>")).otherwise(F.filter(F.sequence(F.lit(0), F.size(w) - 1), lambda i: F.array_contains(x, F.get(w, i)))))
-
-        def judge(i: Column) -> Column:
-            found = [(label, _places(w, p, a, i)) for (p, label), a in zip(phrases, anchors, strict=True)]
-            said = lambda keys: [F.concat(F.lit(" "), F.array_join(w, " "), F.lit(" ")).contains(f" {k} ") for k in keys]
-            shares = []
-            for label, postings, keys in notices:
-                share = _aligned(w, i, postings) / float(sum(map(len, postings.values())))
-                shares.append(_share(share, label, said(keys)))
-            return F.struct(
-                F.sort_array(F.flatten(F.array(*(s for _, s in found)))).alias("starts"),
-                F.array_compact(F.array(*(F.when(F.size(s) > 0, F.lit(label)) for label, s in found))).alias("base"),
-                F.array(*shares).alias("shares"),
-            )
-
-        nothing = F.struct(
-            F.array().cast("array<int>").alias("starts"),
-            F.array().cast("array<string>").alias("base"),
-            F.array().cast("array<struct<label:string,share:double,sure:boolean>>").alias("shares"),
-        )
-        judged = let(at, lambda i: F.when(F.size(i) > 0, judge(i)).otherwise(nothing))
+        own = F.array_intersect(ix.words, w)
+        at = let(own, lambda x: F.when(F.size(x) == 0, _empty("int")).otherwise(F.filter(F.sequence(F.lit(0), F.size(w) - 1), lambda i: F.array_contains(x, F.get(w, i)))))
+        judged = let(at, lambda i: F.when(F.size(i) > 0, _judged(ix, w, i)).otherwise(nothing))
         return F.struct(F.size(w).cast("long").alias("n_words"), judged.alias("found"))
 
     rows = docs.select("doc_id", let(file_words(text_or_empty()), labels_of).alias("s")).select("doc_id", "s.n_words", "s.found.*")
@@ -171,13 +378,6 @@ def scan(docs: DataFrame, idf: dict[str, float] | None = None) -> DataFrame:
     )
 
 
-def _share(share: Column, label: str, keys: list[Column]) -> Column:
-    sure = keys[0]
-    for k in keys[1:]:
-        sure = sure & k
-    return let(share, lambda s: F.struct(F.lit(label).alias("label"), s.alias("share"), F.when(s >= ALIGNED, sure).otherwise(F.lit(False)).alias("sure")))
-
-
 def op8_license_scan(spark, sf_dir):
     return scan(table(spark, sf_dir, "documents")).drop("phrase_starts")
 

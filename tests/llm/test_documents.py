@@ -377,6 +377,50 @@ def test_numbered_notice(make, awkward_rows):
     assert found[1] == ("bsd-3", 1.0) and found[2][0] == "" and found[2][1] <= 0.5
 
 
+def _brute_labels(text, idf):
+    """Own labels and score of a text, by trying every beginning of every notice."""
+    w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), text))
+    labels, best = set(), 0.0
+    for label, (notice, keys) in licenses.NOTICES.items():
+        said = notice.split()
+        rare = sorted(set(said), key=lambda x: (-idf[x], x))[: licenses.RARE]
+        postings = [(p, word) for p, word in enumerate(said) if word in rare]
+        begins = [(i - p, k) for k, (p, word) in enumerate(postings) for i, x in enumerate(w) if x == word]
+        most = max((len({k for c, k in begins if b - licenses.SLACK <= c <= b}) for b, _ in begins), default=0)
+        share = most / len(postings)
+        sure = share >= licenses.ALIGNED and all(f" {k} " in f" {' '.join(w)} " for k in keys)
+        labels |= {label} if sure else set()
+        best = max(best, share if sure else share / 2)
+    phrases = [(p.split(), label) for p, label in licenses.PHRASES.items()]
+    base = {label for p, label in phrases for i in range(len(w)) if w[i : i + len(p)] == p}
+    return ",".join(sorted(labels | base)), 1.0 if base else best
+
+
+def test_own_labels_against_brute_force(make, awkward_rows):
+    """Each notice alone, in pairs, cut short, with words left out or put in, and lower case of A-Z alone."""
+    rng = np.random.default_rng(12)
+    whole = [notice for notice, _ in licenses.NOTICES.values()]
+    assert len(whole) >= 30 and all(k in notice for notice, keys in licenses.NOTICES.values() for k in keys)
+    texts = [n.title() for n in whole] + [f"{rng.choice(whole)} {rng.choice(whole)}" for _ in range(20)]
+    for n in whole:
+        said = n.split()
+        texts += [" ".join(said[: len(said) // 2]), " ".join(x for x in said if rng.random() < 0.85), " ".join(x + (" 1" if rng.random() < 0.1 else "") for x in said)]
+    texts += ["\u212aeep this work is licensed under the gnu general public license version 3", "\u212adirect wor\u212a"]
+    rows = [(k, t, "en", "a") for k, t in enumerate(texts)]
+    idf = licenses.rarity(make(rows + awkward_rows[:40]))
+    found = {r["doc_id"]: (r["labels"], round(r["score"], 9)) for r in licenses.scan(make(rows), idf).collect()}
+    expected = {k: (labels, round(score, 9)) for k, t, *_ in rows for labels, score in [_brute_labels(t, idf)]}
+    assert found == expected
+    assert all(label in found[k][0].split(",") for k, label in enumerate(licenses.NOTICES))
+
+
+def test_rarity(make, awkward_rows):
+    idf, n = licenses.rarity(make(awkward_rows)), len(awkward_rows)
+    for word in ("license", "the", "apache", "mozilla"):
+        held = sum(word in re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (t or "").lower()) for _, t, *_ in awkward_rows)
+        assert math.isclose(idf[word], math.log((n + 1) / (held + 1)))
+
+
 # -- language -----------------------------------------------------------------------------------
 
 
