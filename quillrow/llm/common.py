@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quillrow.runtime import checkpoint, materialize, shared_dir, ship  # noqa: F401  (re-exported)
 
@@ -33,6 +34,17 @@ def let(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+def row_hash(df: DataFrame) -> Column:
+    """A hash of all columns of a row: an order in which only rows that repeat tie, so that reruns choose alike."""
+
+    def has_map(kind: T.DataType) -> bool:
+        inner = [f.dataType for f in kind] if isinstance(kind, T.StructType) else [kind.elementType] if isinstance(kind, T.ArrayType) else []
+        return isinstance(kind, T.MapType | T.VariantType) or any(map(has_map, inner))
+
+    column = lambda f: F.col(f"`{f.name}`")
+    return F.xxhash64(*(F.to_json(F.struct(column(f))) if has_map(f.dataType) else column(f) for f in df.schema))
+
+
 def small_batches(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
     """The same rows in small batches, so that few texts are Python objects at once; memory that a batch took is given back."""
     for batch in batches:

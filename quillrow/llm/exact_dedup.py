@@ -3,7 +3,12 @@
 A text, stripped of ASCII white space, is cut where a rolling hash of its last 32 bytes hits a
 mask, so equal texts get equal chunks wherever they stand. Chunk contents travel once: they are
 grouped by (hash, bytes), which verifies that a hash names one content. After that a document is
-its recipe, the ordered list of chunk identifiers, and only recipes are compared.
+its recipe, the ordered list of chunk identifiers, and only recipes are compared. Of a hash that
+names several contents, of which even 10^11 chunks have a few hundred, the content itself stands
+in the recipe; these hashes are handed to all tasks, up to MOST_COLLIDED of them, and joined beyond.
+
+Recipes and their groups meet in a join of two written tables, whose hot keys (a text with a third
+of all rows) Spark splits at run time.
 
 Defined cases: null text counts as empty; all empty texts are equal. Of equal texts the row with
 the most code points in the original stays, then the smallest doc_id, null ids last. Rows that
@@ -23,13 +28,15 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillrow.llm.common import checkpoint, ship, table, text_or_empty
+from quillrow.llm.common import checkpoint, row_hash, ship, table, text_or_empty
 
 #: Bytes that do not count when texts are compared.
 DELETED = b" \t\n\v\f\r"
 #: Chunk sizes in bytes: a cut needs LEAST behind it, falls on one position in 2**MASK_BITS, and is forced at MOST.
 LEAST, MASK_BITS, MOST = 512, 10, 8192
 WINDOW = 32
+#: Hashes with several contents that tasks get as a list (8 bytes each); beyond, recipes are made by a join.
+MOST_COLLIDED = 1_000_000
 
 
 def _gear() -> np.ndarray:
@@ -83,27 +90,29 @@ def _signed(h: int, bits: int) -> int:
     return h - (1 << 64) if h >> 63 else h
 
 
-def _recipes(hash_bits: int):
+def _recipes(hash_bits: int, collided):
+    """Recipes; contents: those of the chunks whose hash is in the list, in order."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        gear = _gear()
+        gear, several = _gear(), frozenset(collided.value.tolist())
         for batch in batches:
             texts = batch.column("text").to_pylist()
             bare = [t.encode("utf-8", "surrogatepass").translate(None, DELETED) for t in texts]
-            recipes = []
+            recipes, contents = [], []
             for b, ends in zip(bare, chunk_ends(bare, gear), strict=True):
-                last, ids = 0, []
-                for e in ends:
-                    ids.append(_signed(xxhash.xxh3_64_intdigest(b[last:e]), hash_bits))
-                    last = e
+                spans = list(zip([0, *ends], ends))  # noqa: B905
+                ids = [_signed(xxhash.xxh3_64_intdigest(b[x:y]), hash_bits) for x, y in spans]
                 recipes.append(ids)
+                contents.append([b[x:y] for i, (x, y) in zip(ids, spans, strict=True) if i in several] if several else [])
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("doc_id"),
                     pa.array([len(t) for t in texts], pa.int64()),
                     pa.array([hashlib.sha256(b).hexdigest() for b in bare], pa.string()),
                     pa.array(recipes, pa.list_(pa.int64())),
+                    pa.array(contents, pa.list_(pa.binary())),
                 ],
-                ["doc_id", "n_code_points", "text_sha256", "recipe"],
+                ["doc_id", "n_code_points", "text_sha256", "recipe", "contents"],
             )
 
     return run
@@ -157,13 +166,17 @@ def exact_groups(docs: DataFrame, hash_bits: int = 64) -> DataFrame:
     source = docs.select("doc_id", text_or_empty().alias("text"))
     contents = source.mapInArrow(_chunks(hash_bits, False), "chunk long, content binary").groupBy("chunk", "content").agg(F.count("*").alias("n"))
     collided = contents.groupBy("chunk").agg(F.count("*").alias("contents")).filter("contents > 1").select("chunk")
-    if collided.isEmpty():  # every hash names one content: it is the identifier
-        rows = source.mapInArrow(_recipes(hash_bits), f"doc_id {kind}, n_code_points long, text_sha256 string, recipe array<long>")
-    else:  # a hash with several contents is replaced by the content itself
+    collided = checkpoint(collided)
+    few = collided.limit(MOST_COLLIDED + 1).collect()
+    if len(few) <= MOST_COLLIDED:
+        several = docs.sparkSession.sparkContext.broadcast(np.array(sorted(r["chunk"] for r in few), np.int64))
+        rows = source.mapInArrow(_recipes(hash_bits, several), f"doc_id {kind}, n_code_points long, text_sha256 string, recipe array<long>, contents array<binary>")
+        rows = rows.withColumn("recipe", F.struct("recipe", "contents")).drop("contents")
+    else:
         place = F.struct("place", F.struct("chunk", F.when(F.col("shared"), F.col("content")).alias("content")).alias("id"))
         rows = (
             source.mapInArrow(_chunks(hash_bits, True), f"chunk long, content binary, doc_id {kind}, n_code_points long, text_sha256 string, place int")
-            .join(checkpoint(collided).withColumn("shared", F.lit(True)), "chunk", "left")
+            .join(collided.withColumn("shared", F.lit(True)), "chunk", "left")
             .groupBy("doc_id", "n_code_points", "text_sha256", "place")
             .agg(F.count("*").alias("copies"), F.min(place).alias("at"))
             .groupBy("doc_id", "n_code_points", "text_sha256")
@@ -174,7 +187,7 @@ def exact_groups(docs: DataFrame, hash_bits: int = 64) -> DataFrame:
         )
     rows = checkpoint(rows.groupBy("doc_id", "n_code_points", "text_sha256", "recipe").agg(F.count("*").alias("copies")))
     best = F.struct(-F.col("n_code_points"), F.col("doc_id").isNull(), F.col("doc_id").alias("id"))
-    groups = rows.groupBy("recipe").agg(F.min(best).alias("best"), F.sum("copies").alias("group_size"))
+    groups = checkpoint(rows.groupBy("recipe").agg(F.min(best).alias("best"), F.sum("copies").alias("group_size")))
     places = F.posexplode(F.sequence(F.lit(1), F.col("copies").cast("int")))
     return (
         rows.join(groups, "recipe")
@@ -188,10 +201,10 @@ def exact_dedup(docs: DataFrame) -> DataFrame:
     """The rows of docs that stay, with all their columns."""
     keep = exact_groups(docs).filter("kept").select(F.col("doc_id").alias("_keep_id"), F.col("text_sha256").alias("_keep_sha"))
     bare = F.translate(text_or_empty(), " \t\n\x0b\x0c\r", "")
-    own = docs.withColumn("_own_sha", F.sha2(bare, 256))
+    own = docs.withColumns({"_own_sha": F.sha2(bare, 256), "_order": row_hash(docs)})
     own = own.join(keep, own["doc_id"].eqNullSafe(F.col("_keep_id")) & (F.col("_own_sha") == F.col("_keep_sha")), "left_semi")
-    # Repeated rows and equal texts under one doc_id: the longest stays. The join has dealt the rows by these keys already.
-    order = Window.partitionBy("doc_id", "_own_sha").orderBy(F.length(text_or_empty()).desc())
+    # Equal texts under one doc_id: the longest stays, then the first by its columns' hash. The join has dealt the rows by these keys already.
+    order = Window.partitionBy("doc_id", "_own_sha").orderBy(F.length(text_or_empty()).desc(), "_order")
     return own.withColumn("_place", F.row_number().over(order)).filter("_place = 1").select(*docs.columns)
 
 

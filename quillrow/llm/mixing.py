@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillrow.llm.common import WORD, checkpoint, ship, table, text_or_empty, words
+from quillrow.llm.common import WORD, checkpoint, row_hash, ship, table, text_or_empty, words
 
 WEIGHTS = (5, 2, 1)
 MOST = 3
@@ -179,8 +179,8 @@ def mix_documents(docs: DataFrame, **parameters) -> DataFrame:
     n_chars, where docs has it, is that of the row's text.
     """
     keys = ["_doc_id", "_source", "_size", "_text_hash", "_copy"]
-    same = Window.partitionBy(*keys[:-1]).orderBy(F.lit(1))
-    own = docs.withColumns({"_doc_id": F.col("doc_id"), "_source": F.col("source"), "_size": F.size(words(text_or_empty())).cast("long"), "_text_hash": F.xxhash64(text_or_empty())}).withColumn("_copy", F.row_number().over(same))
+    same = Window.partitionBy(*keys[:-1])
+    own = docs.withColumns({"_doc_id": F.col("doc_id"), "_source": F.col("source"), "_size": F.size(words(text_or_empty())).cast("long"), "_text_hash": F.xxhash64(text_or_empty()), "_order": row_hash(docs)}).withColumn("_copy", F.row_number().over(same.orderBy("_order")))
     plan = mix(docs, **parameters).filter("taken > 0").select(*(F.col(c).alias("_" + c) for c in ("doc_id", "source", "size", "text_hash", "rounds", "cut_from", "cut_to", "wrap_to")))
     plan = plan.withColumn("_copy", F.row_number().over(same.orderBy("_rounds", "_cut_from")))
     both = own.alias("o").join(plan.alias("p"), [F.col(f"o.{k}").eqNullSafe(F.col(f"p.{k}")) for k in keys])

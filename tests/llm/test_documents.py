@@ -22,8 +22,9 @@ def bare(text):
 # -- exact dedup --------------------------------------------------------------------------------
 
 
-@pytest.mark.parametrize("bits", [64, 3])
-def test_exact_groups(awkward, awkward_rows, bits):
+@pytest.mark.parametrize("bits, most", [(64, 1_000_000), (3, 1_000_000), (3, 0)])
+def test_exact_groups(awkward, awkward_rows, bits, most, monkeypatch):
+    monkeypatch.setattr(exact_dedup, "MOST_COLLIDED", most)
     found = exact_dedup.exact_groups(awkward, hash_bits=bits).collect()
     groups = defaultdict(list)
     for i, t, *_ in awkward_rows:
@@ -50,6 +51,15 @@ def test_exact_dedup_keeps_columns(awkward, awkward_rows):
     assert kept.columns == awkward.columns and kept.count() == len({bare(t) for _, t, *_ in awkward_rows})
 
 
+def test_ties_are_settled_by_the_rows(spark):
+    """Rows alike but for other columns: reruns over any partitions keep the same ones."""
+    rows = [(k % 3, f"text {k % 2}" + " and some more words to count" * 20, "s", {"a": k}, [k], float(k)) for k in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, m map<string,int>, l array<int>, x double")
+    for stage in (exact_dedup.exact_dedup, near_dedup.near_dedup, lambda d: mixing.mix_documents(d, block=8, weights=(1,))):
+        shown = [sorted(map(repr, stage(docs.repartition(n, order)).collect())) for n, order in ((1, "x"), (5, "doc_id"), (4, "text"))]
+        assert shown[0] == shown[1] == shown[2] and shown[0]
+
+
 # -- near dedup ---------------------------------------------------------------------------------
 
 
