@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import sys
+import types
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -45,6 +47,14 @@ def row_hash(df: DataFrame) -> Column:
     return F.xxhash64(*(F.to_json(F.struct(column(f))) if has_map(f.dataType) else column(f) for f in df.schema))
 
 
+def kept_by_worker(make, text: str):
+    """``make(text)``, which a Python worker keeps for its later tasks; of each maker the last one."""
+    store = sys.modules.setdefault("_kept_by_worker", types.ModuleType("_kept_by_worker")).__dict__
+    if store.get(make.__name__, ("", None))[0] != text:
+        store[make.__name__] = text, make(text)
+    return store[make.__name__][1]
+
+
 def small_batches(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
     """The same rows in small batches, so that few texts are Python objects at once; memory that a batch took is given back."""
     for batch in batches:

@@ -16,25 +16,27 @@ packed each on its own. An empty table gives an empty result. Other columns are
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
 from string import punctuation
-from unicodedata import is_normalized
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillrow.llm.common import checkpoint, ship, table, text_or_empty
+from quillrow.llm.common import checkpoint, kept_by_worker, ship, table, text_or_empty
 
 CAPACITY = 4096
 GRAIN = 16
 END_ID = 2
 #: Pieces in a group that one task ranks.
 GROUP = 8000
-#: Chunks between ASCII white space whose ids a task remembers.
-REMEMBERED = 600_000
+#: Chunks between ASCII white space whose ids a worker remembers, under 200 bytes each.
+REMEMBERED = 1_200_000
+#: New words that go through the model in one call.
+TOGETHER = 2000
 
 
 def tokenizer_path() -> str:
@@ -43,6 +45,10 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+#: A chunk in lower case: letters that normalization leaves as they are, perhaps with ASCII marks behind; or anything else.
+CHUNK = re.compile(f"(?m)^(?:([a-zß-öø-ÿ]+)([{re.escape(punctuation)}]*)|(.*))$")
+
+
 class _Ids(dict):
     """Numbers of chunks of text between ASCII white space; ``parts`` has their ids as little-endian bytes.
 
@@ -56,6 +62,7 @@ class _Ids(dict):
     def __init__(self, model: str):
         from tokenizers import Tokenizer, pre_tokenizers
 
+        super().__init__()
         whole = Tokenizer.from_str(model)
         self.encode = lambda chunk: np.array(whole.encode(chunk, add_special_tokens=False).ids, dtype="<u4").tobytes()
         self.marks = {"": b""}
@@ -71,40 +78,34 @@ class _Ids(dict):
         self[chunk] = n = len(self)
         return n
 
-    def forget(self) -> None:
-        if len(self) > REMEMBERED:
-            self.clear()
-            self.parts = []
+    def of_words(self, words: list[str]) -> dict[str, bytes]:
+        """The ids of words of lower-case letters, some thousands of words in one call."""
+        out: dict[str, bytes] = {}
+        for at in range(0, len(words), TOGETHER):
+            some = words[at : at + TOGETHER]
+            ids = np.array(self.words.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, dtype="<u4")
+            data, ends = ids.tobytes(), (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
+            out.update(zip(some, [data[x:y] for x, y in zip([0, *ends[:-1]], ends, strict=True)], strict=True))
+        return out
 
     def learn(self) -> None:
         """Gives the chunks met since the last call their parts."""
-        since = len(self.parts)
-        self.parts += [b""] * len(self.new)
-        plain: dict[str, list[tuple[int, bytes]]] = {}
-        for at, said in enumerate("\n".join([c.decode("utf-8", "replace") for c in self.new]).split("\n") if self.new else (), since):
-            low = said.lower()
-            word = low.rstrip(punctuation)
-            if word.isalpha() and (said.isascii() or (max(said) < "\u0250" and is_normalized("NFC", said))):
-                mark = low[len(word) :]
-                if mark not in self.marks:
-                    self.marks[mark] = self.encode(mark)
-                plain.setdefault(word, []).append((at, self.marks[mark]))
-            else:
-                self.parts[at] = self.encode(said)
-        if plain:
-            ids = np.array(self.words.encode(" ".join(plain), add_special_tokens=False).ids, dtype="<u4")
-            data, last = ids.tobytes(), 0
-            for chunks, end in zip(plain.values(), (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist(), strict=True):
-                own, last = data[last:end], end
-                for at, mark in chunks:
-                    self.parts[at] = own + mark
+        said = [c.decode("utf-8", "replace") for c in self.new]
+        found = CHUNK.findall("\n".join(said).lower()) if said else []
+        own = self.of_words(list(dict.fromkeys([word for word, _, _ in found if word])))
+        for mark in {mark for _, mark, _ in found}.difference(self.marks):
+            self.marks[mark] = self.encode(mark)
+        marks = self.marks
+        self.parts += [own[word] + marks[mark] if word else self.encode(chunk) for chunk, (word, mark, _) in zip(said, found, strict=True)]
         self.new = []
 
     def texts(self, texts: list[str]) -> Iterator[bytes]:
         """The ids of each text. A few megabytes at a time are cut into chunks."""
         at = 0
         while at < len(texts):
-            self.forget()
+            if len(self) > REMEMBERED:
+                self.clear()
+                self.parts = []
             numbers, size = [], 0
             while at < len(texts) and size < 1 << 22:
                 numbers.append(list(map(self.__getitem__, texts[at].encode("utf-8", "replace").split())))
@@ -118,7 +119,7 @@ class _Ids(dict):
 
 def _pieces(model, capacity: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids = _Ids(model.value)
+        ids = kept_by_worker(_Ids, model.value)
         end = np.array([END_ID], dtype="<u4").tobytes()
         for batch in batches:
             row, start, length, crc, total = [], [], [], [], []
