@@ -12,18 +12,22 @@ once. Predictive probabilities are averaged over samples.
 The counts are all (context, word) pairs of all training texts. Nothing of the size of the
 vocabulary is held in one place:
 
-A. a task turns its texts into units: per bucket of contexts, the pairs with their training counts
-   and the documents they occur in;
-B. a bucket merges its units and sends word counts and one table for each pair to the partitions of
-   the vocabulary; with the parent that C makes of all buckets' tables, it seats its restaurants
-   and sends their tables;
-C. a vocabulary partition sums them, seats the parent's tables and answers each bucket;
-D. a bucket goes on seating with the answers, averages its predictions and sums them up by document;
-E. a unit's documents add up what the buckets sent.
-
-A's output is shuffled once and read by B, twice, and by D. Pairs travel as compressed arrays. Contexts
-with more than half a bucket's share of all tokens are split by word, and their totals are summed
-in C. Buckets and partitions grow in number with the texts, so their size stays the same.
+A. a task turns its texts into units: per bucket of contexts, the unit's pairs with their training
+   counts, each pair once however many documents hold it; the documents' occurrences stay together;
+B. a bucket merges its units' pairs and sends word counts and one table for each pair to the
+   partitions of the vocabulary; with the parent that C makes of all buckets' tables, it seats its
+   restaurants and sends their tables;
+C. a vocabulary partition sums them, seats the parent's tables and answers each bucket that asked;
+   the sums over all partitions are added up and handed to all buckets;
+D. a bucket goes on seating with the answers, averages its predictions and answers each unit with
+   the probabilities of its pairs;
+E. a unit adds up its documents' occurrences.
+
+A's output is shuffled once and read by B, twice, and by D. Pairs travel as compressed arrays; a
+message is sent only where there is something to say, so the messages of a unit are at most its
+pairs, and those of a bucket at most its words. Contexts with more than half a bucket's share of
+all tokens are split by word, and their totals are summed in C. Buckets and partitions grow in
+number with the texts, so their size stays the same; a pair costs its bucket one entry per unit.
 
 Defined cases: null text is empty and has one token, the end; a null doc_id counts as the empty
 text in the fold; repeated rows are scored and counted each; an empty table gives an empty result;
@@ -39,12 +43,14 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillrow.llm.common import ship, table, text_or_empty
+from quillrow.llm.common import checkpoint, ship, table, text_or_empty
 
 #: Discounts and strengths of context restaurants and of their parent.
 DISCOUNT, STRENGTH = 0.75, 1.0
@@ -54,10 +60,10 @@ FIRST_STEPS, BURN_IN, SAMPLES = 4, 4, 4
 #: Generalized Stirling numbers are tabled up to so many customers; beyond, they are a series of so many terms up to so many times customers ** discount tables.
 TABLED, TERMS, SERIES = 1024, 160, 2.5
 #: Characters of text for one bucket, and tokens of a unit.
-BUCKET_CHARS, UNIT_TOKENS = 20_000_000, 5_000_000
+BUCKET_CHARS, UNIT_TOKENS = 40_000_000, 5_000_000
 SEED = 11
-#: A bucket's sums travel as fixed-point numbers with so many binary places.
-SCORE_BITS, BASE_BITS = 16, 32
+#: Probabilities travel as logarithms with so many binary places.
+SCORE_BITS = 18
 #: Ids of the start of a text and of the end token; words have their hash.
 START, END = 1, 2
 
@@ -102,7 +108,7 @@ def _split_of(contexts: np.ndarray, hot: tuple[np.ndarray, np.ndarray]) -> np.nd
 
 
 def _unit(ids: list[np.ndarray], docs: list[tuple[int | None, bool]], vocabulary: dict[bytes, int], buckets: int, hot) -> Iterator[tuple]:
-    """Rows (bucket, unit, is_docs, payload) for the documents of a unit."""
+    """Rows (bucket, is_docs, payload) for the documents of a unit: its pairs by bucket, in the order of which the documents' occurrences are kept."""
     names = np.fromiter((xxhash.xxh3_64_intdigest(w) for w in vocabulary), np.uint64, len(vocabulary))
     names = np.concatenate((names, np.array([START, END], np.uint64)))
     v = len(names)
@@ -117,54 +123,47 @@ def _unit(ids: list[np.ndarray], docs: list[tuple[int | None, bool]], vocabulary
     contexts[ends[:-1] + 1] = v - 2
     doc = np.repeat(np.arange(len(ids), dtype=np.int32), lengths)
 
-    code = contexts * v + words
-    order = np.argsort(code, kind="stable")  # keeps documents in order within a pair
-    code, doc = code[order], doc[order]
-    entry = np.flatnonzero(np.concatenate(([True], (code[1:] != code[:-1]) | (doc[1:] != doc[:-1]))))
-    times = np.diff(np.concatenate((entry, [len(code)]))).astype(np.int32)
-    code, doc = code[entry], doc[entry]
-    first = np.flatnonzero(np.concatenate(([True], code[1:] != code[:-1])))
-    entries = np.diff(np.concatenate((first, [len(code)]))).astype(np.int32)
+    # Words are numbered by name and contexts by bucket, so that pairs come by bucket, context and word.
+    part = (names[words] >> np.uint64(20)) % _split_of(names, hot)[contexts]
+    bucket = _mix(names[contexts] + part * np.uint64(0x9E3779B97F4A7C15)) % np.uint64(buckets)
+    by_name = np.empty(v, np.int64)
+    by_name[np.argsort(names, kind="stable")] = np.arange(v)
+    names = np.sort(names)
+    u, w = by_name[contexts], by_name[words]
+    order = np.lexsort((w, u, bucket))  # keeps documents in order within a pair
+    bucket, u, w, doc = bucket[order], u[order], w[order], doc[order]
+    new = np.concatenate(([True], (u[1:] != u[:-1]) | (w[1:] != w[:-1]) | (bucket[1:] != bucket[:-1])))
+    entry = np.flatnonzero(new | np.concatenate(([True], doc[1:] != doc[:-1])))
+    times = np.diff(np.concatenate((entry, [len(u)])))
+    first = np.flatnonzero(new[entry])
+    doc = doc[entry]
+    entries = np.diff(np.concatenate((first, [len(entry)])))
     train = np.fromiter((not held for _, held in docs), bool, len(docs))
     trained = np.add.reduceat(np.where(train[doc], times, 0), first).astype(np.int32)
-    u, w = np.divmod(code[first], v)
-    part = (names[w] >> np.uint64(20)) % _split_of(names, hot)[u]
-    bucket = (_mix(names[u] + part * np.uint64(0x9E3779B97F4A7C15)) % np.uint64(buckets)).astype(np.int32)
-
-    # Units share a name only if their documents have the same ids and the same pairs of words.
-    digest = xxhash.xxh3_64(pickle.dumps([d for d, _ in docs]))
-    for array in (lengths, names, code, doc, times):
-        digest.update(np.ascontiguousarray(array).view(np.uint8).data)
-    digest = digest.intdigest()
-    unit = digest - (1 << 63)
-    by_bucket = np.argsort(bucket, kind="stable")
-    cuts = np.searchsorted(bucket[by_bucket], np.arange(buckets + 1))
-    for b in range(buckets):
-        mine = by_bucket[cuts[b] : cuts[b + 1]]
-        if not len(mine):
-            continue
-        own, local = np.unique(np.concatenate((names[u[mine]], names[w[mine]])), return_inverse=True)
-        lu, lw = local[: len(mine)].astype(np.int64), local[len(mine) :].astype(np.int64)
-        by_pair = np.argsort(lu * len(own) + lw, kind="stable")
-        mine, lu, lw = mine[by_pair], lu[by_pair], lw[by_pair]
-        n = entries[mine]
-        at = np.repeat(first[mine] - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum())
-        payload = _dump(
-            names=np.diff(own, prepend=np.uint64(0)), u=np.diff(lu, prepend=0).astype(np.int32), w=lw.astype(np.int32), trained=trained[mine], entries=n, doc=doc[at], times=times[at]
-        )
-        yield b, unit, False, payload
+    at = entry[first]
+    bucket, u, w = bucket[at], u[at], w[at]
+    cuts = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1], [True])))
+    for x, y in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+        own, local = np.unique(np.concatenate((u[x:y], w[x:y])), return_inverse=True)
+        lu, lw = local[: y - x], local[y - x :]
+        yield int(bucket[x]), False, _dump(names=np.diff(names[own], prepend=np.uint64(0)), u=np.diff(lu, prepend=0).astype(np.int32), w=lw.astype(np.int32), trained=trained[x:y])
     known = np.fromiter((d is not None for d, _ in docs), bool, len(docs))
     ids_ = np.fromiter((d or 0 for d, _ in docs), np.int64, len(docs))
-    yield int(np.uint64(digest) % np.uint64(buckets)), unit, True, _dump(doc_id=ids_, known=known, held=~train, tokens=lengths)
+    # Within a pair documents rise, so their steps are small numbers.
+    steps = np.diff(doc, prepend=0)
+    steps[first] = doc[first]
+    yield -1, True, _dump(doc_id=ids_, known=known, held=~train, tokens=lengths, entries=entries.astype(np.int32), doc=steps.astype(np.int32), times=times.astype(np.int32))
 
 
 def _units(buckets: int, hot):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hot_ = hot.value
         ids, docs, vocabulary, tokens = [], [], _Vocabulary(), 0
+        unit = TaskContext.get().partitionId() << 24  # a name that no other task gives
 
         def flush():
-            for b, unit, is_docs, payload in _unit(ids, docs, vocabulary, buckets, hot_):
+            for b, is_docs, payload in _unit(ids, docs, vocabulary, buckets, hot_):
+                b = unit % buckets if is_docs else b
                 yield pa.RecordBatch.from_pydict(
                     {"bucket": pa.array([b], pa.int32()), "unit": pa.array([unit], pa.int64()), "is_docs": pa.array([is_docs]), "payload": pa.array([payload], pa.binary())}
                 )
@@ -177,7 +176,7 @@ def _units(buckets: int, hot):
                 tokens += len(words) + 1
                 if tokens >= UNIT_TOKENS:
                     yield from flush()
-                    ids, docs, vocabulary, tokens = [], [], _Vocabulary(), 0
+                    ids, docs, vocabulary, tokens, unit = [], [], _Vocabulary(), 0, unit + 1
         if docs:
             yield from flush()
 
@@ -275,7 +274,7 @@ class _Bucket:
         self.u, self.w = np.divmod(pairs, v)
         self.c = np.bincount(index, np.concatenate([p["trained"] for p in parts]) if parts else None, len(pairs)).astype(np.int64)
         at = np.cumsum([0, *map(len, codes)])
-        self.parts = [(p, index[a:b]) for p, a, b in zip(parts, at[:-1], at[1:], strict=True)]
+        self.parts = [index[a:b] for a, b in zip(at[:-1], at[1:], strict=True)]  # the places of each unit's pairs
         self.split = _split_of(self.names, hot) > 1
         self.cu = np.bincount(self.u, self.c, v)
         self.seated = self.c > 0
@@ -320,25 +319,30 @@ def _seated(b: _Bucket | list[bytes], hot, p1: np.ndarray | None = None) -> tupl
 
 
 def _payloads(t: pa.Table, is_docs: bool) -> list[tuple[int, bytes]]:
-    rows = zip(*(t.column(c).to_pylist() for c in ("unit", "is_docs", "payload")), strict=True)
-    return sorted((u, p) for u, d, p in rows if d == is_docs)
+    t = t.filter(pc.equal(t.column("is_docs"), is_docs))
+    return sorted(zip(t.column("unit").to_pylist(), t.column("payload").to_pylist(), strict=True))
 
 
 def _partition(names: np.ndarray, partitions: int) -> np.ndarray:
     return (_mix(names ^ np.uint64(0xABCDEF)) % np.uint64(partitions)).astype(np.int64)
 
 
-def _answered(b: _Bucket, rows: pa.Table, partitions: int, last: bool) -> tuple[dict[str, np.ndarray], np.ndarray, np.ndarray]:
+def _answered(b: _Bucket, rows: pa.Table, partitions: int, last: bool) -> tuple[dict[str, np.ndarray], list[float], np.ndarray]:
     """What the vocabulary partitions said of the bucket's words, first or last; their sums; the parent's probabilities."""
     v = len(b.names)
-    to, sums = _partition(b.names, partitions), np.zeros(4)
+    to = _partition(b.names, partitions)
+    order = np.argsort(to, kind="stable")
+    cuts = np.searchsorted(to[order], np.arange(partitions + 1))
     got = {name: np.zeros(max(1, v)) for name in ("c", "customers", "tables", "cu", "tu")}
-    for k, is_last, payload in zip(*(rows.column(x).to_pylist() for x in ("part", "is_last", "payload")), strict=True):
-        if is_last == last:
-            arrays, mine = _load(payload), to == k
-            sums += arrays["sums"]
-            for name, array in got.items():
-                array[:v][mine] = arrays[name]
+    for k, is_last, payload, said in zip(*(rows.column(x).to_pylist() for x in ("part", "is_last", "payload", "sums")), strict=True):
+        if is_last != last:
+            continue
+        if said is not None:
+            sums = said
+            continue
+        arrays, mine = _load(payload), order[cuts[k] : cuts[k + 1]]
+        for name, array in got.items():
+            array[mine] = arrays[name]
     _, distinct, seated, parent_tables = sums
     back = (PARENT_STRENGTH + PARENT_DISCOUNT * parent_tables) / (distinct + 1)
     return got, sums, (np.maximum(got["customers"] - PARENT_DISCOUNT * got["tables"], 0) + back) / (PARENT_STRENGTH + seated)
@@ -349,9 +353,10 @@ def _asked(b: _Bucket, bucket: int, partitions: int) -> pa.Table:
     v = len(b.names)
     count, tables, cu, tu = (np.bincount(i, x, max(1, v))[:v].astype(np.int64) for i, x in ((b.w, b.c), (b.w, b.t), (b.u, b.c * b.split[b.u]), (b.u, b.t * b.split[b.u])))
     to = _partition(b.names, partitions)
-    payloads = [_dump(names=np.diff(b.names[m := to == k], prepend=np.uint64(0)), c=count[m].astype(np.int32), t=tables[m].astype(np.int32), cu=cu[m], tu=tu[m]) for k in range(partitions)]
-    n = len(payloads)
-    return pa.table({"part": pa.array(range(n), pa.int32()), "bucket": pa.array([bucket] * n, pa.int32()), "payload": pa.array(payloads, pa.binary())})
+    order = np.argsort(to, kind="stable")
+    parts, cuts = np.unique(to[order], return_index=True)
+    payloads = [_dump(names=np.diff(b.names[m], prepend=np.uint64(0)), c=count[m].astype(np.int32), t=tables[m].astype(np.int32), cu=cu[m], tu=tu[m]) for m in np.split(order, cuts[1:])] if v else []
+    return pa.table({"part": pa.array(parts, pa.int32()), "bucket": pa.array([bucket] * len(payloads), pa.int32()), "payload": pa.array(payloads, pa.binary())})
 
 
 def _stage_types(partitions: int, hot):
@@ -384,8 +389,11 @@ def _parent_tables(customers: np.ndarray, words: int, partitions: int, rng: np.r
     return mean
 
 
-def _stage_c(partitions: int, last: bool):
+def _stage_c(partitions: int, only_sums: bool):
+    """Answers to the buckets, or the partition's sums: tokens, words, tables of contexts, tables of the parent."""
+
     def run(key, t):
+        part = key[0].as_py()
         rows = sorted(zip(t.column("bucket").to_pylist(), t.column("payload").to_pylist(), strict=True))
         parts = [_load(p) for _, p in rows]
         own = [np.cumsum(p["names"], dtype=np.uint64) for p in parts]
@@ -393,14 +401,15 @@ def _stage_c(partitions: int, last: bool):
         total = {k: np.bincount(index, np.concatenate([p[k] for p in parts]), len(names)).astype(np.int64) for k in ("c", "t", "cu", "tu")}
         # Partitions are alike: the parent's words and tables are as many times those of this one.
         words = int((total["c"] > 0).sum()) * partitions
-        tables = _parent_tables(total["t"], words, partitions, np.random.default_rng([SEED, key[0].as_py()]))
-        sums = np.array([total["c"].sum(), (total["c"] > 0).sum(), total["t"].sum(), tables.sum()], float)
+        tables = _parent_tables(total["t"], words, partitions, np.random.default_rng([SEED, part]))
+        if only_sums:
+            return pa.table({"sums": pa.array([[float(x) for x in (total["c"].sum(), (total["c"] > 0).sum(), total["t"].sum(), tables.sum())]], pa.list_(pa.float64()))})
         at, out = 0, []
         for (bucket, _), n in zip(rows, map(len, own), strict=True):
             i = index[at : at + n]
             at += n
-            out.append((bucket, _dump(c=total["c"][i], customers=total["t"][i], tables=tables[i].astype(np.float32), cu=total["cu"][i], tu=total["tu"][i], sums=sums)))
-        return pa.table({"bucket": pa.array([b for b, _ in out], pa.int32()), "part": pa.array([key[0].as_py()] * len(out), pa.int32()), "is_last": pa.array([last] * len(out)), "payload": pa.array([p for _, p in out], pa.binary())})
+            out.append((bucket, _dump(c=total["c"][i], customers=total["t"][i], tables=tables[i].astype(np.float32), cu=total["cu"][i], tu=total["tu"][i])))
+        return pa.table({"bucket": pa.array([b for b, _ in out], pa.int32()), "part": pa.array([part] * len(out), pa.int32()), "payload": pa.array([p for _, p in out], pa.binary())})
 
     return run
 
@@ -424,32 +433,20 @@ def _stage_d(partitions: int, hot):
             if k >= BURN_IN:
                 t = totals()
                 p += (b.c - DISCOUNT * b.t + (STRENGTH + DISCOUNT * t[b.u]) * p1[b.w]) / (STRENGTH + all_c[b.u]) / SAMPLES
-        p = np.log10(p)
-        base = np.log10((c[b.w] + 1) / (n_train + distinct + 1))
-        known = c[b.w] > 0
-        rows = []
-        for (unit, _), (part, index) in zip(units, b.parts, strict=True):
-            index, doc, times = np.repeat(index, part["entries"]), part["doc"], part["times"]
-            there, place = np.unique(doc, return_inverse=True)
-            total = lambda x, kind, bits=0: np.rint(np.bincount(place, x[index] * times, len(there)) * 2.0**bits).astype(kind)  # noqa: B023, E731
-            rows.append(
-                (
-                    unit,
-                    _dump(
-                        doc=np.diff(there, prepend=0).astype(np.int32),
-                        score=-total(p, np.int64, SCORE_BITS),
-                        base=-total(base, np.int64, BASE_BITS),
-                        known=total(known, np.int32),
-                        n=np.array([n_train], np.int64),
-                    ),
-                )
-            )
-        docs = _payloads(left, True)
+        logs = np.rint(-np.log10(p) * 2.0**SCORE_BITS).astype(np.int32)
+        counts = c[b.w].astype(np.int64)
+        counts = counts.astype(np.int32) if counts.max(initial=0) < 1 << 31 else counts
+        rows = [(unit, False, _dump(logs=logs[index], c=counts[index])) for (unit, _), index in zip(units, b.parts, strict=True)]
+        rows += [(unit, True, payload) for unit, payload in _payloads(left, True)]
+        n = len(rows)
         return pa.table(
             {
-                "unit": pa.array([u for u, _ in rows] + [u for u, _ in docs], pa.int64()),
-                "is_docs": pa.array([False] * len(rows) + [True] * len(docs), pa.bool_()),
-                "payload": pa.array([p for _, p in rows + docs], pa.binary()),
+                "unit": pa.array([u for u, _, _ in rows], pa.int64()),
+                "is_docs": pa.array([d for _, d, _ in rows], pa.bool_()),
+                "bucket": pa.array([key[0].as_py()] * n, pa.int32()),
+                "payload": pa.array([p for _, _, p in rows], pa.binary()),
+                "n_train": pa.array([int(n_train)] * n, pa.int64()),
+                "distinct": pa.array([int(distinct)] * n, pa.int64()),
             }
         )
 
@@ -457,29 +454,29 @@ def _stage_d(partitions: int, hot):
 
 
 def _stage_e(key, t):
-    docs = [_load(p) for _, p in _payloads(t, True)]
-    copies, docs = len(docs), docs[0]  # units of the same rows share a name and got their sums together
-    n = len(docs["doc_id"])
-    score, base, known, train = (*(np.zeros(n, np.int64) for _ in range(3)), 0)
-    for _, payload in _payloads(t, False):
-        got = _load(payload)
-        at = np.cumsum(got["doc"])
-        score[at] += got["score"]
-        base[at] += got["base"]
-        known[at] += got["known"]
-        train = int(got["n"][0])
-    out = pa.table(
+    t = t.sort_by([("is_docs", "ascending"), ("bucket", "ascending")])
+    *said, docs = map(_load, t.column("payload").to_pylist())  # pairs by bucket, as the unit has them
+    logs, c = (np.concatenate([p[k] for p in said]) for k in ("logs", "c"))
+    n_train, distinct = (t.column(k)[0].as_py() for k in ("n_train", "distinct"))
+    n, entries = len(docs["doc_id"]), docs["entries"]
+    pair = np.repeat(np.arange(len(entries)), entries)
+    first = np.cumsum(entries) - entries
+    doc = np.cumsum(docs["doc"], dtype=np.int64)
+    doc -= np.repeat(doc[first] - docs["doc"][first], entries)  # steps begin anew with each pair
+    total = lambda x: np.bincount(doc, x[pair] * docs["times"], n)
+    score = total(-logs / 2.0**SCORE_BITS)
+    return pa.table(
         {
             "doc_id": pa.array(docs["doc_id"], pa.int64(), mask=~docs["known"]),
             "held_out": pa.array(docs["held"]),
             "n_tokens": pa.array(docs["tokens"], pa.int64()),
-            "n_known": pa.array(known // copies, pa.int64()),
-            "train_tokens": pa.array(np.full(n, train, np.int64)),
-            "base_score": pa.array(0.0 - base / copies / 2.0**BASE_BITS, pa.float64()),
-            "score": pa.array(0.0 - score / copies / 2.0**SCORE_BITS, pa.float64()),
+            "n_known": pa.array(total((c > 0).astype(float)).astype(np.int64)),
+            "train_tokens": pa.array(np.full(n, n_train, np.int64)),
+            "base_score": pa.array(0.0 + total(np.log10((c + 1) / (n_train + distinct + 1))), pa.float64()),
+            "score": pa.array(0.0 + score, pa.float64()),
+            "perplexity": pa.array(10.0 ** (-score / docs["tokens"]), pa.float64()),
         }
     )
-    return pa.concat_tables([out] * copies)
 
 
 def _frequent(share: float):
@@ -501,7 +498,7 @@ def _frequent(share: float):
 
 
 def score(docs: DataFrame, folds: int = 7, held: int = 2, bucket_chars: int = BUCKET_CHARS) -> DataFrame:
-    """One row per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
+    """One row per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, perplexity.
 
     The model learns from the documents whose crc32(doc_id as text) mod folds is not held.
     """
@@ -513,7 +510,7 @@ def score(docs: DataFrame, folds: int = 7, held: int = 2, bucket_chars: int = BU
     chars = rows.agg(F.sum(F.length("text"))).first()[0] or 0
     buckets = max(2, -(-chars // bucket_chars))
     share = 0.5 / buckets
-    often = rows.select("text").mapInArrow(_frequent(share / 4), "name long, n long").groupBy("name").agg(F.sum("n").alias("n"))
+    often = checkpoint(rows.select("text").mapInArrow(_frequent(share / 4), "name long, n long").groupBy("name").agg(F.sum("n").alias("n")))
     tokens = (often.filter(F.col("name") == END).first() or {"n": 0})["n"]
     # At most 2 * buckets names, 16 bytes each, are over the share.
     found = often.filter((F.col("name") != END) & (F.col("n") > share * tokens)).orderBy("name").collect()
@@ -523,13 +520,24 @@ def score(docs: DataFrame, folds: int = 7, held: int = 2, bucket_chars: int = BU
     hot = context.broadcast((names[order], parts[order]))
 
     units = rows.mapInArrow(_units(buckets, hot), "bucket int, unit long, is_docs boolean, payload binary")
-    asked, answered = "part int, bucket int, payload binary", "bucket int, part int, is_last boolean, payload binary"
-    types = units.groupBy("bucket").applyInArrow(_stage_types(buckets, hot), asked)
-    first = types.groupBy("part").applyInArrow(_stage_c(buckets, False), answered)
+    asked = "part int, bucket int, payload binary"
+
+    def answers(tables: DataFrame, last: bool) -> DataFrame:
+        """What the vocabulary says to the buckets that asked, and its sums to all buckets."""
+        by_part = tables.groupBy("part")
+        said = by_part.applyInArrow(_stage_c(buckets, False), "bucket int, part int, payload binary").withColumn("sums", F.lit(None).cast("array<double>"))
+        sums = by_part.applyInArrow(_stage_c(buckets, True), "sums array<double>")
+        sums = sums.agg(F.array(*(F.coalesce(F.sum(F.get("sums", F.lit(k))), F.lit(0.0)) for k in range(4))).alias("sums"))
+        told = sums.select(F.explode(F.sequence(F.lit(0), F.lit(buckets - 1))).alias("bucket"), F.lit(None).cast("int").alias("part"), F.lit(None).cast("binary").alias("payload"), "sums")
+        return said.union(told).withColumn("is_last", F.lit(last))
+
+    first = answers(units.groupBy("bucket").applyInArrow(_stage_types(buckets, hot), asked), False)
     tables = units.groupBy("bucket").cogroup(first.groupBy("bucket")).applyInArrow(_stage_b(buckets, hot), asked)
-    answers = first.union(tables.groupBy("part").applyInArrow(_stage_c(buckets, True), answered))
-    summed = units.groupBy("bucket").cogroup(answers.groupBy("bucket")).applyInArrow(_stage_d(buckets, hot), "unit long, is_docs boolean, payload binary")
-    return summed.groupBy("unit").applyInArrow(_stage_e, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    both = first.union(answers(tables, True))
+    kinds = "unit long, is_docs boolean, bucket int, payload binary, n_train long, distinct long"
+    done = units.groupBy("bucket").cogroup(both.groupBy("bucket")).applyInArrow(_stage_d(buckets, hot), kinds)
+    scores = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, perplexity double"
+    return done.groupBy("unit").applyInArrow(_stage_e, scores)
 
 
 def op1_lm_scoring(spark, sf_dir):
