@@ -4,9 +4,11 @@ A text is first given to a language family, then to a language of that family, b
 one-versus-one linear support vector machines over hashed byte n-grams of the whole text. Family
 machines see all languages; machines inside a family only separate its close relatives.
 
-The machines are fitted on the driver from a bounded sample: at most ``PER_LANGUAGE`` labelled
-distinct training texts of each language, the first by a hash, each as a vector of ``DIMENSIONS``
-numbers. Prediction reads every whole text.
+The machines are fitted in tasks from a bounded sample: at most ``PER_LANGUAGE`` labelled distinct
+training texts of each language, the first by a hash, each as a sparse vector of ``DIMENSIONS``
+numbers. Classes are taken in blocks, and a task fits the machines of two blocks, so no task holds
+more than 2 * BLOCK classes. Only the machines, at most MOST_LANGUAGES ** 2 / 2 of 8 kB, reach the
+driver and are broadcast; tables with more languages are refused. Prediction reads every whole text.
 
 Defined cases: null texts and texts without a letter are ``und`` with score 0; so is every text if
 nothing was learned; with one learned language all others are that language. Null languages are
@@ -23,15 +25,17 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillrow.llm.common import ship, table
+from quillrow.llm.common import checkpoint, ship, table
 
 DIMENSIONS = 4096
 PER_LANGUAGE = 400
-#: Languages that are learned: those with the most documents.
-LANGUAGES = 500
+#: Languages that one model tells apart; more are refused, none is left out.
+MOST_LANGUAGES = 150
+#: Classes in a block.
+BLOCK = 8
 
 # ISO 639-1 codes by family. Any other value is a family of its own.
 FAMILIES = {
@@ -75,14 +79,26 @@ def vector(text: str, dimensions: int = DIMENSIONS) -> np.ndarray:
     return (counts / max(1e-12, np.linalg.norm(counts))).astype(np.float32)
 
 
+def packed(x: np.ndarray) -> bytes:
+    """A vector without its zeros: places, then numbers."""
+    at = np.flatnonzero(x)
+    return at.astype("<u2").tobytes() + x[at].astype("<f4").tobytes()
+
+
+def unpacked(data: bytes, dimensions: int = DIMENSIONS) -> np.ndarray:
+    n, out = len(data) // 6, np.zeros(dimensions, np.float32)
+    out[np.frombuffer(data, "<u2", n)] = np.frombuffer(data, "<f4", n, 2 * n)
+    return out
+
+
 def svm(x: np.ndarray, y: np.ndarray, strength: float = 1e-3, steps: int = 400) -> tuple[np.ndarray, float]:
     """A linear support vector machine (y is -1 or 1): averaged subgradient steps on the hinge loss, classes weighed alike."""
-    weight = np.where(y > 0, 0.5 / max(1, (y > 0).sum()), 0.5 / max(1, (y < 0).sum()))
-    x1 = np.hstack([x, np.ones((len(x), 1), x.dtype)])
-    w, mean = np.zeros(x1.shape[1]), np.zeros(x1.shape[1])
+    weight = np.where(y > 0, 0.5 / max(1, (y > 0).sum()), 0.5 / max(1, (y < 0).sum())) * y
+    x1 = np.hstack([x, np.ones((len(x), 1), x.dtype)]).astype(np.float32)
+    w, mean = np.zeros(x1.shape[1], np.float32), np.zeros(x1.shape[1])
     for t in range(1, steps + 1):
         inside = y * (x1 @ w) < 1
-        w = (1 - 1 / t) * w + (weight * y * inside) @ x1 / (strength * t)
+        w = (1 - 1 / t) * w + ((weight * inside).astype(np.float32) @ x1) / np.float32(strength * t)
         if t > steps // 2:
             mean += w / (steps - steps // 2)
     return mean[:-1].astype(np.float32), float(mean[-1])
@@ -96,15 +112,6 @@ class OneVersusOne:
     weights: np.ndarray | None = None
     biases: np.ndarray | None = None
 
-    def fit(self, x: np.ndarray, labels: np.ndarray) -> OneVersusOne:
-        machines = []
-        for a, b in combinations(range(len(self.classes)), 2):
-            mine = (labels == self.classes[a]) | (labels == self.classes[b])
-            machines.append(svm(x[mine], np.where(labels[mine] == self.classes[a], 1.0, -1.0)))
-        if machines:
-            self.weights, self.biases = np.stack([w for w, _ in machines]), np.array([b for _, b in machines])
-        return self
-
     def choose(self, x: np.ndarray) -> tuple[str, float]:
         """The class and how sure it is: a logistic of its smallest margin."""
         if self.weights is None:
@@ -112,8 +119,8 @@ class OneVersusOne:
         margins = self.weights @ x + self.biases
         n = len(self.classes)
         of = np.full((n, n), np.inf)
-        for k, (a, b) in enumerate(combinations(range(n), 2)):
-            of[a, b], of[b, a] = margins[k], -margins[k]
+        a, b = np.triu_indices(n, 1)
+        of[a, b], of[b, a] = margins, -margins
         votes = (of > 0).sum(axis=1) - 1
         best = max(range(n), key=lambda c: (votes[c], np.tanh(of[c]).sum(), -c))
         return self.classes[best], float(1 / (1 + np.exp(-3 * of[best].min())))
@@ -134,42 +141,77 @@ class Model:
         return language, group, sure * surer
 
 
-def fit(x: np.ndarray, labels: list[str]) -> Model:
-    if not labels:
-        return Model()
-    names, groups = np.array(labels, dtype=object), np.array([family(s) for s in labels], dtype=object)
-    known = sorted(set(groups))
-    within = {g: OneVersusOne(sorted(set(names[groups == g]))).fit(x[groups == g], names[groups == g]) for g in known}
-    return Model(OneVersusOne(known).fit(x, groups), within)
-
-
 def _vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         texts = batch.column("text").to_pylist()
-        vectors = [vector(t).tobytes() if has_letter(t) else None for t in texts]
+        vectors = [packed(vector(t)) if has_letter(t) else None for t in texts]
         yield pa.RecordBatch.from_arrays([batch.column("lang"), batch.column("hash"), pa.array(vectors, pa.binary())], ["lang", "hash", "vector"])
 
 
-def learn(rows: DataFrame, per_language: int = PER_LANGUAGE) -> Model:
-    """Fits on rows (text, lang): at most per_language documents of each language."""
+def _fitted(t: pa.Table) -> pa.Table:
+    """The machines of all pairs of one class of block a and one of block b."""
+    group, a, b = (t.column(k)[0].as_py() for k in ("group", "a", "b"))
+    of: dict[int, list[np.ndarray]] = {}
+    order = t.sort_by([("class", "ascending"), ("lang", "ascending"), ("hash", "ascending")])
+    for c, data in zip(order.column("class").to_pylist(), order.column("vector").to_pylist(), strict=True):
+        of.setdefault(c, []).append(unpacked(data))
+    x = {c: np.stack(v) for c, v in of.items()}
+    pairs = [(c, d) for c in sorted(x) for d in sorted(x) if c < d and (c // BLOCK, d // BLOCK) == (a, b)]
+    machines = [svm(np.concatenate((x[c], x[d])), np.repeat([1.0, -1.0], [len(x[c]), len(x[d])])) for c, d in pairs]
+    return pa.table(
+        {
+            "group": pa.array([group] * len(pairs), pa.string()),
+            "first": pa.array([c for c, _ in pairs], pa.int32()),
+            "second": pa.array([d for _, d in pairs], pa.int32()),
+            "weights": pa.array([w.astype("<f2").tobytes() for w, _ in machines], pa.binary()),
+            "bias": pa.array([bias for _, bias in machines], pa.float64()),
+        }
+    )
+
+
+def sampled(rows: DataFrame, per_language: int = PER_LANGUAGE) -> DataFrame:
+    """(lang, hash, vector): the first per_language distinct texts of each language by their hash."""
     ship()
     rows = rows.filter("lang is not null and text is not null").withColumn("hash", F.pmod(F.xxhash64("text"), F.lit(1 << 40)))
     # Copies and texts that has_letter() may refuse do not count as examples.
     usable = F.when(F.col("text").rlike(LETTER), F.col("hash"))
-    counts = rows.groupBy("lang").agg(F.count("*").alias("count"), F.count_distinct(usable).alias("distinct")).orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
-    if not counts:
-        return Model()
-    reach = F.create_map(*(F.lit(v) for r in counts for v in (r["lang"], int((1 << 40) * min(1.0, 1.5 * per_language / max(1, r["distinct"]))))))
+    counts = rows.groupBy("lang").agg(F.count_distinct(usable).alias("distinct")).limit(MOST_LANGUAGES + 1).collect()
+    if len(counts) > MOST_LANGUAGES:
+        raise ValueError(f"more than {MOST_LANGUAGES} languages")
+    whole = F.lit(1 << 40)
+    reach = F.create_map(*(F.lit(v) for r in counts for v in (r["lang"], int((1 << 40) * min(1.0, 1.5 * per_language / max(1, r["distinct"])))))) if counts else F.create_map(F.lit(""), whole)
     sample = rows.filter((F.col("hash") < reach[F.col("lang")]) & F.col("text").rlike(LETTER)).dropDuplicates(["lang", "hash"]).select("lang", "hash", "text")
-    got = sample.mapInArrow(_vectors, "lang string, hash long, vector binary").filter("vector is not null").limit(2 * per_language * len(counts)).collect()
-    got.sort(key=lambda r: (r["lang"], r["hash"]))
-    taken: dict[str, list[bytes]] = {}
-    for r in got:
-        if len(own := taken.setdefault(r["lang"], [])) < per_language:
-            own.append(r["vector"])
-    labels = [k for k, v in taken.items() for _ in v]
-    x = np.stack([np.frombuffer(b, dtype=np.float32) for v in taken.values() for b in v]) if labels else np.zeros((0, DIMENSIONS), np.float32)
-    return fit(x, labels)
+    got = sample.mapInArrow(_vectors, "lang string, hash long, vector binary").filter("vector is not null")
+    place = F.row_number().over(Window.partitionBy("lang").orderBy("hash"))
+    return got.withColumn("place", place).filter(F.col("place") <= per_language).drop("place")
+
+
+def learn(rows: DataFrame, per_language: int = PER_LANGUAGE) -> Model:
+    """Fits on rows (text, lang): at most per_language documents of each language."""
+    sample = checkpoint(sampled(rows, per_language))
+    languages = sorted(r["lang"] for r in sample.select("lang").distinct().collect())  # at most MOST_LANGUAGES
+    if not languages:
+        return Model()
+    families = sorted({family(s) for s in languages})
+    groups = {"": families} | {f"of {f}": [s for s in languages if family(s) == f] for f in families}
+    places = []
+    for s in languages:
+        for group, name in (("", family(s)), (f"of {family(s)}", s)):
+            c = groups[group].index(name)
+            for other in range(-(-len(groups[group]) // BLOCK)):
+                places.append((s, group, c, *sorted((c // BLOCK, other))))
+    places = F.broadcast(rows.sparkSession.createDataFrame(places, "lang string, group string, class int, a int, b int"))  # under MOST_LANGUAGES ** 2 rows
+    machines = sample.join(places, "lang").groupBy("group", "a", "b").applyInArrow(_fitted, "group string, first int, second int, weights binary, bias double")
+    found = {(r["group"], r["first"], r["second"]): r for r in machines.collect()}
+
+    def one_versus_one(group: str) -> OneVersusOne:
+        classes = groups[group]
+        own = [found[group, c, d] for c, d in combinations(range(len(classes)), 2)]
+        if not own:
+            return OneVersusOne(classes)
+        return OneVersusOne(classes, np.stack([np.frombuffer(r["weights"], "<f2").astype(np.float32) for r in own]), np.array([r["bias"] for r in own]))
+
+    return Model(one_versus_one(""), {f: one_versus_one(f"of {f}") for f in families})
 
 
 def _predicted(model):

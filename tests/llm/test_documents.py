@@ -517,17 +517,66 @@ def test_language(make, awkward_rows):
     assert {r["lang_pred"] for r in language.identify(make([(k, "abc def", "xx", "a") for k in range(20)])).collect()} == {"xx"}
 
 
-def test_copies_do_not_thin_the_sample(spark, monkeypatch):
+def test_copies_do_not_thin_the_sample(spark):
     """Every distinct text is an example, however many rows are copies of one text or hold no letter."""
-    seen = []
-    monkeypatch.setattr(language, "fit", lambda x, labels: seen.append(Counter(labels)) or language.Model())
+    shown = lambda rows: {r["lang"]: r["count"] for r in language.sampled(rows, per_language=40).groupBy("lang").count().collect()}
     copies = spark.range(20_000).selectExpr("'the same words again' as text", "'en' as lang")
     own = spark.range(30).selectExpr("concat('text number ', chr(int(97 + id % 26)), chr(int(97 + id / 26))) as text", "'en' as lang")
     bare = spark.range(3_000).selectExpr("cast(id as string) as text", "'en' as lang")
-    language.learn(copies.union(own).union(bare), per_language=40)
+    assert shown(copies.union(own).union(bare)) == {"en": 31}
     many = spark.range(5_000).selectExpr("concat('x', translate(cast(id as string), '0123456789', 'abcdefghij')) as text", "'de' as lang")
-    language.learn(many.union(copies), per_language=40)
-    assert seen == [Counter(en=31), Counter(de=40, en=1)]
+    assert shown(many.union(copies)) == {"de": 40, "en": 1}
+
+
+def test_many_languages(make, monkeypatch):
+    """More languages than a block holds are all learned; more than a model takes are refused."""
+    rng = np.random.default_rng(14)
+    names = ["en", "de", "nl", "fr", "es", "ru"] + [f"x{k}" for k in range(14)]
+    parts = {s: ["".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), 3)) for _ in range(6)] for s in names}
+    rows = [(i, " ".join("".join(rng.choice(parts[s], 2)) for _ in range(30)), s, "a") for i in range(600) for s in [names[i % len(names)]]]
+    found = {r["doc_id"]: r for r in language.identify(make(rows)).collect()}
+    held = [i for i, *_ in rows if zlib.crc32(str(i).encode()) % 4 == 2]
+    assert {found[i]["lang_pred"] for i in held} == set(names)
+    assert np.mean([found[i]["lang_pred"] == rows[i][2] for i in held]) > 0.95
+    monkeypatch.setattr(language, "MOST_LANGUAGES", 19)
+    with pytest.raises(ValueError):
+        language.identify(make(rows))
+
+
+def test_votes_against_brute_force():
+    rng = np.random.default_rng(15)
+    for n in (2, 3, 5, 9):
+        model = language.OneVersusOne([f"c{k}" for k in range(n)], rng.normal(size=(n * (n - 1) // 2, 8)).astype(np.float32), rng.normal(size=n * (n - 1) // 2))
+        for _ in range(40):
+            x = rng.normal(size=8).astype(np.float32)
+            votes, margins, k = [0] * n, defaultdict(list), 0
+            for a in range(n):
+                for b in range(a + 1, n):
+                    m = sum(float(p) * float(q) for p, q in zip(model.weights[k], x, strict=True)) + model.biases[k]
+                    votes[a if m > 0 else b] += 1
+                    margins[a].append(m)
+                    margins[b].append(-m)
+                    k += 1
+            best = max(range(n), key=lambda c: (votes[c], 1 + sum(map(math.tanh, margins[c]))))
+            name, sure = model.choose(x)
+            assert name == f"c{best}" and math.isclose(sure, 1 / (1 + math.exp(-3 * min(margins[best]))), rel_tol=1e-4)
+
+
+def test_vectors_and_machines():
+    x = language.vector("Some words of a text, and some more words")
+    counts = Counter()
+    b = b" some words of a text and some more words "
+    for n in (2, 3, 4):
+        for i in range(len(b) - n + 1):
+            counts[(int.from_bytes(b[i : i + n], "big") + n) * 2654435761 % 2**32 >> 20] += 1
+    norm = math.sqrt(sum(counts.values()))
+    assert all(math.isclose(x[k], math.sqrt(c) / norm, rel_tol=1e-5) for k, c in counts.items()) and np.count_nonzero(x) == len(counts)
+    assert (language.unpacked(language.packed(x)) == x).all()
+    rng = np.random.default_rng(16)
+    y = np.repeat([1.0, -1.0], [30, 90])
+    points = (rng.normal(size=(120, 6)) + 2 * y[:, None]).astype(np.float32)
+    w, bias = language.svm(points, y)
+    assert (np.sign((points * w).sum(axis=1) + bias) == y).mean() > 0.98
 
 
 # -- language model -----------------------------------------------------------------------------
