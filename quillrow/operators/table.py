@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import io
-import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
@@ -14,7 +13,7 @@ from pyspark.sql import types as T
 from quillrow import container, wire
 from quillrow.arrow import to_values
 from quillrow.errors import ContainerError, SchemaError
-from quillrow.runtime import shared_dir
+from quillrow.runtime import scratch
 from quillrow.schema import Record, from_spark, parse, to_spark
 from quillrow.session import install
 from quillrow.sources.container_source import FORMAT, SPLIT_BYTES, record_batches
@@ -68,7 +67,7 @@ def container_writer(path: str, **options: object) -> Callable[[DataFrame], str]
 
 def round_trip(df: DataFrame, columns: list[str] | None = None, compression: str = "null", **options: object) -> DataFrame:
     """df written as a container into the shared folder, and the container read."""
-    path = f"{shared_dir(df.sparkSession).rstrip('/')}/container-{uuid.uuid4().hex}"
+    path = scratch(df.sparkSession, "container")
     cores = df.sparkSession.sparkContext.defaultParallelism
     if df.rdd.getNumPartitions() < cores:  # encoding costs more than dealing the rows out
         df = df.repartition(cores)
@@ -86,24 +85,21 @@ def row_count(spark: SparkSession, path: str) -> DataFrame:
 
 
 def row_at(spark: SparkSession, path: str, index: int) -> DataFrame:
-    """The row at a place (from 0) in the order of files, blocks and rows. Only its block's file is decoded."""
+    """The row at a place (from 0) in the order of files, blocks and rows. Block headers are counted, and one block is decoded."""
     if index < 0:
         raise IndexError(index)
-    blocks = block_index(spark, path)
-    for r in blocks.groupBy("_file").agg(F.sum("_rows").alias("n")).orderBy("_file").toLocalIterator():
+    for r in block_index(spark, path).groupBy("_file").agg(F.sum("_rows").alias("n")).orderBy("_file").toLocalIterator():
         if index < r["n"]:
             name = r["_file"]
             break
         index -= r["n"]
     else:
         raise IndexError("the table has fewer rows")
-    at = None
-    for r in blocks.filter(F.col("_file") == name).orderBy("_block").toLocalIterator():
+    for r in read_container(spark, path, counts="true", file=name).orderBy("_block").toLocalIterator():
         if index < r["_rows"]:
-            at = r["_block"]
             break
         index -= r["_rows"]
-    found = read_container(spark, path, positions="true").filter((F.col("_file") == name) & (F.col("_block") == at) & (F.col("_row") == index))
+    found = read_container(spark, path, positions="true", file=name, block=r["_block"]).filter(F.col("_row") == index)
     return found.drop("_file", "_block", "_row")
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillrow import schema as S
-from quillrow.functions.codec import duration_interval, encoded_size, from_binary, to_binary
+from quillrow.functions.codec import duration_interval, encoded_size, from_binary, native_reader, to_binary
 from quillrow.operators.table import (
     block_index,
     element,
@@ -21,7 +21,7 @@ from quillrow.operators.table import (
     union_ragged,
     write_container,
 )
-from quillrow.runtime import shared_dir
+from quillrow.runtime import scratch
 from quillrow.session import install
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -46,9 +46,7 @@ def query(name: str, sql: str | None = None):
 
 
 def _path(spark: SparkSession) -> str:
-    import uuid
-
-    return f"{shared_dir(spark).rstrip('/')}/container-{uuid.uuid4().hex}"
+    return scratch(spark, "container")
 
 
 # -- scans and sinks ----------------------------------------------------------------------------
@@ -254,6 +252,14 @@ ROUND_TRIPS: dict[str, tuple[str, str, Callable[[], Column], str, Callable[[Colu
     "fixed": ("orders", "o_orderkey", lambda: F.unhex(F.md5(F.col("o_orderkey").cast("string"))), '{"type":"fixed","name":"digest","size":16}', lambda v: F.lower(F.hex(v)), "md5(o_orderkey::VARCHAR)"),
     "enum": ("orders", "o_orderkey", lambda: F.col("o_orderstatus"), _ENUM, _same, "o_orderstatus"),
     "nullable": ("orders", "o_orderkey", _price, '["null","long"]', _same, _PRICE),
+    "record": (
+        "orders",
+        "o_orderkey",
+        lambda: F.struct(F.col("o_orderkey").cast("long").alias("key"), F.col("o_orderpriority").alias("priority"), _price().cast("long").alias("rest"), F.col("o_orderdate").cast("date").alias("day")),
+        _json({"type": "record", "name": "order", "fields": [{"name": "key", "type": "long"}, {"name": "priority", "type": "string"}, {"name": "rest", "type": ["long", "null"]}, {"name": "day", "type": {"type": "int", "logicalType": "date"}}]}),
+        lambda v: F.concat_ws("|", v["key"], v["priority"], F.coalesce(v["rest"].cast("string"), F.lit("-")), v["day"]),
+        "concat_ws('|', o_orderkey, o_orderpriority, CASE WHEN o_orderkey % 7 = 0 THEN '-' ELSE (o_orderkey - 20000)::VARCHAR END, o_orderdate::DATE)",
+    ),
     "array": ("embeddings", "vec_id", lambda: F.col("embedding"), '{"type":"array","items":"float"}', lambda v: element(v, 3), "embedding[3]"),
     "array_size": ("embeddings", "vec_id", lambda: F.col("embedding"), '{"type":"array","items":"float"}', F.size, "len(embedding)::INTEGER"),
     "map": ("orders", "o_orderkey", lambda: F.create_map(F.col("o_orderstatus"), F.col("o_custkey")), '{"type":"map","values":"long"}', lambda v: v[F.col("o_orderstatus")], "o_custkey"),
@@ -313,7 +319,13 @@ for _name, (_table, _key, _value, _schema, _shown, _sql) in ROUND_TRIPS.items():
         rows = table(spark, d, t).withColumn("_value", from_binary(to_binary(value(), schema), schema))
         return rows.select(F.col(key).alias("id"), shown(F.col("_value")).alias("value"))
 
+    def _native_trip(spark, d, t=_table, key=_key, value=_value, schema=_schema, shown=_shown):
+        rows = table(spark, d, t).withColumn("_value", from_binary(to_binary(value(), schema), schema, native=True))
+        return rows.select(F.col(key).alias("id"), shown(F.col("_value")).alias("value"))
+
     query(f"roundtrip_{_name}", f"SELECT {_key} AS id, {_sql} AS value FROM {_table}")(_trip)
+    if native_reader(S.parse(_schema)) is not None:
+        query(f"decode_native_{_name}", f"SELECT {_key} AS id, {_sql} AS value FROM {_table}")(_native_trip)
 
 
 @query(

@@ -11,6 +11,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 import quillrow
 
+#: Paths of intermediate results.
+_SCRATCH: list[str] = []
+
 
 def ship() -> None:
     """Send this package's Python functions to the workers by value.
@@ -24,14 +27,39 @@ def ship() -> None:
 def shared_dir(spark: SparkSession) -> str:
     """The folder for checkpoints and written tables: ``spark.checkpoint.dir``.
 
-    Only where that setting is unset (local tests) a folder on this machine is chosen.
+    Where that setting is unset a folder on this machine is chosen for local sessions; others are refused, as their
+    executors would not see it.
     """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="quillrow-", dir=os.environ.get("TMPDIR"))
+        spark.conf.set("spark.checkpoint.dir", found)  # one folder for each session
     return found
 
 
+def scratch(spark: SparkSession, kind: str) -> str:
+    """A new path in the shared folder, which ``release`` deletes."""
+    path = f"{shared_dir(spark).rstrip('/')}/{kind}-{uuid.uuid4().hex}"
+    _SCRATCH.append(path)
+    return path
+
+
+def release(spark: SparkSession) -> int:
+    """Deletes the tables and containers written as intermediate results so far; how many is returned.
+
+    Results that were not yet computed or written elsewhere may still need them. Spark's own checkpoints go with
+    ``spark.cleaner.referenceTracking.cleanCheckpoints``.
+    """
+    jvm, done = spark.sparkContext._jvm, 0
+    while _SCRATCH:
+        path = jvm.org.apache.hadoop.fs.Path(_SCRATCH.pop())
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        done += 1
+    return done
+
+
 def checkpoint(df: DataFrame) -> DataFrame:
     """Compute ``df`` once into the shared folder and cut its lineage there."""
     context = df.sparkSession.sparkContext
@@ -42,6 +70,6 @@ def checkpoint(df: DataFrame) -> DataFrame:
 
 def materialize(df: DataFrame) -> DataFrame:
     """Like ``checkpoint`` for wide rows: a compressed table in the shared folder."""
-    path = f"{shared_dir(df.sparkSession).rstrip('/')}/table-{uuid.uuid4().hex}"
+    path = scratch(df.sparkSession, "table")
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -4,7 +4,8 @@ Reading splits files by byte range on the driver without opening them, but for o
 gives the schema. A user schema of fewer fields makes the decoder skip the others. Options:
 ``splitBytes``, ``schemaJson`` (for reading files of a folder that holds none yet), ``positions``
 (true adds _file, _block and _row), ``counts`` (true reads block headers only: _file, _block and
-_rows). Writing makes a file for each task: ``compression`` (null, deflate, bzip2, xz, zstandard),
+_rows), ``file`` and ``block`` (one file of the path, as _file names it, and the block at one
+position in it). Writing makes a file for each task: ``compression`` (null, deflate, bzip2, xz, zstandard),
 ``blockBytes``, ``schemaJson``, ``recordName``. Files become visible when the job commits.
 """
 
@@ -14,6 +15,7 @@ import logging
 import os
 import uuid
 from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 import pyarrow as pa
@@ -30,6 +32,8 @@ FORMAT = "row_container"
 log = logging.getLogger("quillrow")
 SPLIT_BYTES = 64 << 20
 BLOCK_BYTES = 256 << 10
+#: Files that a commit moves at a time.
+MOVES = 64
 POSITIONS = (T.StructField("_file", T.StringType(), False), T.StructField("_block", T.LongType(), False), T.StructField("_row", T.LongType(), False))
 COUNTS = T.StructType([*POSITIONS[:2], T.StructField("_rows", T.LongType(), False)])
 
@@ -83,10 +87,17 @@ class _Reader(DataSourceReader):
         self.path, self.wanted, self.expected = path, wanted, expected
         self.split = int(options.get("splitbytes", SPLIT_BYTES))
         self.positions, self.counts = _true(options, "positions"), _true(options, "counts")
+        self.file, self.block = options.get("file"), options.get("block")
 
     def partitions(self) -> list[Split]:
         out = []
         for path, size in container.list_files(self.path):
+            if self.file not in (None, path):
+                continue
+            if self.block is not None:  # the range in which the mark before the block begins
+                mark = int(self.block) - container.SYNC_SIZE
+                out.append(Split(path, mark, mark + 1))
+                continue
             out += [Split(path, a, min(a + self.split, size)) for a in range(0, size, self.split)]
         log.debug("%s: %d splits", self.path, len(out))
         return out or [Split("", 0, 0)]
@@ -147,12 +158,11 @@ class _Writer(DataSourceArrowWriter):
     def commit(self, messages: list[_Written | None]) -> None:
         fs, root = container.filesystem(self.path)
         fs.create_dir(root, recursive=True)
-        for m in messages:
-            if m is not None:
-                fs.move(m.temporary, m.final)
-        if self.overwrite:
-            for path in self.earlier:
-                fs.delete_file(path)
+        # Stores answer slowly and take many requests at once.
+        with ThreadPoolExecutor(MOVES) as pool:
+            list(pool.map(lambda m: fs.move(m.temporary, m.final), [m for m in messages if m is not None]))
+            if self.overwrite:
+                list(pool.map(fs.delete_file, self.earlier))
         log.debug("%s: committed %d files, %d rows", self.path, len(messages), sum(m.rows for m in messages if m is not None))
         self._clean()
 

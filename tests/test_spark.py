@@ -104,8 +104,53 @@ def test_values_as_containers(spark, frame, tmp_path):
 def test_native_equals_arrow(spark, schema, value):
     rows = spark.range(0, 1000, 7).select(F.expr(value).alias("v"))
     both = rows.select("v", to_binary(F.col("v"), schema, native=True).alias("a"), to_binary(F.col("v"), schema, native=False).alias("b"), encoded_size(F.col("v"), schema).alias("n"))
-    both = both.withColumn("back", from_binary(F.col("a"), schema))
-    assert both.filter("not (a <=> b) or not (n <=> octet_length(a)) or not (back <=> v)").count() == 0
+    both = both.withColumns({"back": from_binary(F.col("a"), schema), "native": from_binary(F.col("a"), schema, native=True)})
+    assert both.filter("not (a <=> b) or not (n <=> octet_length(a)) or not (back <=> v) or not (native <=> v)").count() == 0
+
+
+@pytest.mark.parametrize(
+    "schema,data",
+    [
+        ("long", "80"),
+        ("long", ""),
+        ("long", "FFFFFFFFFFFFFFFFFF02"),
+        ("long", "80808080808080808080"),
+        ("int", "8080808080808001"),
+        ("boolean", "02"),
+        ("string", "0461"),
+        ("string", "02FF"),
+        ("bytes", "01"),
+        ("bytes", "FEFFFFFFFFFFFFFFFF01"),
+        ('{"type":"fixed","name":"f","size":3}', "0102"),
+        ('{"type":"enum","name":"e","symbols":["a","b"]}', "04"),
+        ('["null","long"]', "04"),
+        ('{"type":"record","name":"r","fields":[{"name":"x","type":"long"},{"name":"y","type":"string"}]}', "02"),
+    ],
+)
+def test_damaged_bytes_raise_either_way(spark, schema, data):
+    df = spark.createDataFrame([(bytes.fromhex(data),)], "b binary")
+    for native in (True, False):
+        with pytest.raises(Exception, match="end of data|more than|no int|no boolean|UTF-?8|utf-8|no symbol|no branch|out of range"):
+            df.select(from_binary(F.col("b"), schema, native=native).alias("v")).collect()
+    assert df.select(from_binary(F.col("b"), schema, permissive=True).alias("v")).first()[0] is None
+
+
+@pytest.mark.parametrize(
+    "schema,value",
+    [
+        ("int", "cast(1099511627776 as bigint)"),
+        ("int", "cast(-2147483649 as bigint)"),
+        ('{"type":"record","name":"r","fields":[{"name":"x","type":"long"},{"name":"y","type":"string"}]}', "named_struct('x', 1L, 'y', cast(null as string))"),
+        ('{"type":"fixed","name":"f","size":3}', "cast('ab' as binary)"),
+        ('{"type":"enum","name":"e","symbols":["a","b"]}', "'c'"),
+        ('{"type":"string","logicalType":"uuid"}', "'no'"),
+    ],
+)
+def test_values_that_a_schema_cannot_hold_raise_either_way(spark, schema, value):
+    rows = spark.range(3).select(F.expr(value).alias("v"))
+    for native in (True, False):
+        with pytest.raises(Exception, match="no int|null under|takes 3 bytes|no symbol|no uuid"):
+            rows.select(to_binary(F.col("v"), schema, native=native).alias("b")).collect()
 
 
 def test_damaged_values(spark):
