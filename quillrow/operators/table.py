@@ -50,9 +50,30 @@ def container_schema(path: str) -> Record:
         return container.read_header(file).record
 
 
+def _wide(kind: T.DataType) -> T.DataType:
+    if isinstance(kind, T.ByteType | T.ShortType):
+        return T.IntegerType()
+    if isinstance(kind, T.ArrayType):
+        return T.ArrayType(_wide(kind.elementType), kind.containsNull)
+    if isinstance(kind, T.MapType):
+        return T.MapType(kind.keyType, _wide(kind.valueType), kind.valueContainsNull)
+    if isinstance(kind, T.StructType):
+        return T.StructType([T.StructField(f.name, _wide(f.dataType), f.nullable, f.metadata) for f in kind])
+    return kind
+
+
+def widened(df: DataFrame) -> DataFrame:
+    """df with its one- and two-byte integers as int, the narrowest that the format has."""
+    wide = [(f, _wide(f.dataType)) for f in df.schema]
+    if all(f.dataType == kind for f, kind in wide):
+        return df
+    return df.select(*(F.col(f"`{f.name}`") if f.dataType == kind else F.col(f"`{f.name}`").cast(kind).alias(f.name, metadata=f.metadata) for f, kind in wide))
+
+
 def write_container(df: DataFrame, path: str, compression: str = "null", mode: str = "append", schema_json: str | None = None, **options: object) -> str:
     """Writes a file for each partition; the path is returned."""
     install(df.sparkSession)
+    df = widened(df)
     container.codec_name(compression)
     if schema_json:
         options["schemaJson"] = schema_json

@@ -20,6 +20,7 @@ def write_value(path: str, value: object, schema: Schema | str) -> int:
     """Encodes one host value into a file; the bytes written are counted."""
     fs, inner = container.filesystem(path)
     data = wire.encode(schema_from(schema), value)
+    fs.create_dir(inner.rpartition("/")[0] or "/", recursive=True)
     with fs.open_output_stream(inner) as file:
         file.write(data)
     return len(data)

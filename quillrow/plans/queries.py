@@ -2,18 +2,26 @@
 
 from __future__ import annotations
 
+import dataclasses
+import datetime
+import enum
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillrow import schema as S
+from quillrow.container import filesystem
+from quillrow.derive import decode_as, lowers, schema_of
 from quillrow.functions.codec import duration_interval, encoded_size, from_binary, native_reader, to_binary
 from quillrow.operators.table import (
+    as_dict,
     block_index,
+    container_writer,
     element,
     from_container_column,
     read_binary_files,
+    read_container,
     round_trip,
     row_at,
     row_count,
@@ -21,8 +29,10 @@ from quillrow.operators.table import (
     union_ragged,
     write_container,
 )
+from quillrow.operators.values import read_value, read_value_files, write_value
 from quillrow.runtime import scratch
 from quillrow.session import install
+from quillrow.wire import encode
 
 Query = Callable[[SparkSession, str], DataFrame]
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -78,9 +88,54 @@ def row_at_nation(spark, d):
     return row_at(spark, write_container(ordered, _path(spark), blockBytes=64), 7)
 
 
-@query("block_index_lineitem")
+@query("block_index_lineitem", "SELECT count(*) AS n, true AS rising FROM lineitem")
 def block_index_lineitem(spark, d):
-    return block_index(spark, write_container(table(spark, d, "lineitem"), _path(spark))).select("_block", "_rows")
+    """The index adds up to the table, and blocks follow one another."""
+    index = block_index(spark, write_container(table(spark, d, "lineitem"), _path(spark), blockBytes=20_000))
+    order = Window.partitionBy("_file").orderBy("_block")
+    return index.withColumn("rises", F.col("_block") > F.coalesce(F.lag("_block").over(order), F.lit(0))).agg(F.sum("_rows").alias("n"), F.bool_and(F.col("rises") & (F.col("_rows") > 0)).alias("rising"))
+
+
+@query("curried_sink_orders", "SELECT * FROM orders")
+def curried_sink_orders(spark, d):
+    return read_container(spark, container_writer(_path(spark), compression="deflate")(table(spark, d, "orders")))
+
+
+@query("row_dicts_nation", "SELECT * FROM nation")
+def row_dicts_nation(spark, d):
+    """Rows materialised on the driver as dicts, and a table of these."""
+    nation = table(spark, d, "nation")
+    return spark.createDataFrame([as_dict(r) for r in round_trip(nation).collect()], nation.schema)
+
+
+@query("small_integers", "SELECT o_orderkey AS id, (o_orderkey % 100)::INTEGER AS tiny, (o_orderkey % 30000)::INTEGER AS small, o_orderkey * 100000 AS wide FROM orders")
+def small_integers(spark, d):
+    """Narrow columns are carried by the next wider type of the format."""
+    narrow = lambda n, kind: (F.col("o_orderkey") % n).cast(kind)
+    rows = table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), narrow(100, "byte").alias("tiny"), narrow(30000, "short").alias("small"), (F.col("o_orderkey") * 100000).alias("wide"))
+    return round_trip(rows)
+
+
+@query("value_files_nation", "SELECT n_nationkey, n_name, n_regionkey FROM nation")
+def value_files_nation(spark, d):
+    """One encoded value in each file, read by Spark's file reader."""
+    path = _path(spark)
+    for r in table(spark, d, "nation").collect():
+        write_value(f"{path}/{r['n_nationkey']:03d}.value", as_dict(r), _NATION)
+    return read_value_files(spark, path, _NATION).select("value.*")
+
+
+@query("value_file_region", "SELECT r_regionkey, r_name FROM region")
+def value_file_region(spark, d):
+    """A whole table as one value in one file, its schema in another, read back on the driver."""
+    region, path = table(spark, d, "region"), _path(spark)
+    record = S.from_spark(region.schema, "region")
+    fs, folder = filesystem(path)
+    fs.create_dir(folder, recursive=True)
+    with fs.open_output_stream(f"{folder}/schema") as file:
+        file.write(S.render(S.Array(record)).encode())
+    write_value(f"{path}/value", [as_dict(r) for r in region.collect()], f"{path}/schema")
+    return spark.createDataFrame(read_value(f"{path}/value", f"{path}/schema"), region.schema)
 
 
 @query("container_values_orders", "SELECT * FROM orders")
@@ -103,7 +158,15 @@ def agg_over_container(spark, d):
     return round_trip(table(spark, d, "orders"), ["o_orderpriority", "o_totalprice"]).groupBy("o_orderpriority").agg(F.count("*").alias("n"), F.round(F.sum("o_totalprice"), 2).alias("total"))
 
 
-@query("schema_json")
+_JSON_TYPES = {"INTEGER": '"int"', "BIGINT": '"long"', "DOUBLE": '"double"', "VARCHAR": '"string"', "TIMESTAMP": '{"type":"long","logicalType":"local-timestamp-micros"}', "FLOAT[]": '{"type":"array","items":["null","float"]}'}
+
+
+@query(
+    "schema_json",
+    "SELECT table_name AS name, '{\"type\":\"record\",\"name\":\"' || table_name || '\",\"fields\":[' || string_agg('{\"name\":\"' || column_name || '\",\"type\":[\"null\",' || CASE data_type "
+    + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in _JSON_TYPES.items())
+    + f" END || ']}}', ',' ORDER BY ordinal_position) || ']}}' AS schema FROM information_schema.columns WHERE table_name IN ({', '.join(repr(n) for n in TABLES)}) GROUP BY table_name",
+)
 def schema_json(spark, d):
     rows = [(n, S.render(S.from_spark(table(spark, d, n).schema, n))) for n in TABLES]
     return spark.createDataFrame(rows, "name string, schema string")
@@ -121,7 +184,33 @@ def ragged_union(spark, d):
     return round_trip(union_ragged(a, b, c))
 
 
-# -- encodings as hex ---------------------------------------------------------------------------
+# -- schemas of Python types, damaged bytes -----------------------------------------------------
+
+
+class Status(enum.Enum):
+    F = 1
+    O = 2  # noqa: E741
+    P = 3
+
+
+@dataclasses.dataclass
+class Money:
+    """A type of the user's that is carried by another: cents."""
+
+    cents: int
+
+
+@dataclasses.dataclass
+class Order:
+    key: int
+    status: Status
+    price: Money
+    day: datetime.date
+    pair: tuple[int, str]
+    rest: int | None
+
+
+lowers(Money, int, lambda m: m.cents, Money)
 
 
 def duck_varint(x: str) -> str:
@@ -135,6 +224,9 @@ def duck_text(x: str) -> str:
     return f"{duck_varint(f'strlen({x})')} || hex({x})"
 
 
+# -- encodings as hex ---------------------------------------------------------------------------
+
+
 _PRICE = "CASE WHEN o_orderkey % 7 = 0 THEN NULL ELSE o_orderkey - 20000 END"
 _TS = "epoch_us(o_orderdate)"
 _ENUM = '{"type":"enum","name":"status","symbols":["F","O","P"]}'
@@ -196,6 +288,56 @@ ENCODINGS: dict[str, tuple[str, str, Callable[[], Column], str, str]] = {
     ),
 }
 
+@query(
+    "derived_record_hex",
+    f"SELECT o_orderkey AS id, {duck_varint('o_orderkey')} || {duck_varint("list_position(['F', 'O', 'P'], o_orderstatus) - 1")} || {duck_varint('o_custkey * 7')} || {duck_varint("o_orderdate::DATE - DATE '1970-01-01'")}"
+    f" || {duck_varint('o_orderkey % 5')} || {duck_text('o_orderpriority')} || CASE WHEN o_orderkey % 7 = 0 THEN '00' ELSE '02' || {duck_varint('o_orderkey - 20000')} END AS hex FROM orders",
+)
+def derived_record_hex(spark, d):
+    """Encoded under the schema of a dataclass that holds an enum, a lowered type, a tuple and an option."""
+    value = F.struct(
+        F.col("o_orderkey").alias("key"),
+        F.col("o_orderstatus").alias("status"),
+        (F.col("o_custkey") * 7).alias("price"),
+        F.col("o_orderdate").cast("date").alias("day"),
+        F.struct((F.col("o_orderkey") % 5).alias("_1"), F.col("o_orderpriority").alias("_2")).alias("pair"),
+        _price().alias("rest"),
+    )
+    return table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.hex(to_binary(value, schema_of(Order))).alias("hex"))
+
+
+@query(
+    "host_values_orders",
+    "SELECT o_orderkey AS key, o_orderstatus AS status, o_custkey * 7 AS cents, o_orderdate::DATE::VARCHAR AS day, o_orderpriority AS priority, CASE WHEN o_orderkey % 7 = 0 THEN NULL ELSE o_orderkey - 20000 END AS rest FROM orders WHERE o_orderkey <= 200",
+)
+def host_values_orders(spark, d):
+    """Values of the user's types, encoded and decoded to the same types on the driver."""
+    rows = table(spark, d, "orders").filter("o_orderkey <= 200").withColumn("rest", _price()).collect()
+    orders = [Order(r["o_orderkey"], Status[r["o_orderstatus"]], Money(r["o_custkey"] * 7), r["o_orderdate"].date(), (1, r["o_orderpriority"]), r["rest"]) for r in rows]
+    back = [decode_as(Order, encode(schema_of(Order), x)) for x in orders]
+    return spark.createDataFrame(
+        [(x.key, x.status.name, x.price.cents, x.day.isoformat(), x.pair[1], x.rest) for x in back],
+        "key long, status string, cents long, day string, priority string, rest long",
+    )
+
+
+#: name: (schema, value, its damage, SQL for what a permissive reader gives)
+DAMAGES = {
+    "cut_number": ("long", lambda: F.col("o_orderkey") * 100000, lambda b: F.when(F.col("o_orderkey") % 3 == 0, F.substring(b, F.lit(1), F.octet_length(b) - 1)).otherwise(b), "CASE WHEN o_orderkey % 3 <> 0 THEN o_orderkey * 100000 END"),
+    "cut_string": ("string", lambda: F.col("o_orderpriority"), lambda b: F.when(F.col("o_orderkey") % 3 == 0, F.substring(b, F.lit(1), F.octet_length(b) - 1)).otherwise(b), "CASE WHEN o_orderkey % 3 <> 0 THEN o_orderpriority END"),
+    "enum_symbol": ('{"type":"enum","name":"status","symbols":["F","O","P"]}', lambda: F.col("o_orderstatus"), lambda b: F.when(F.col("o_orderkey") % 3 == 0, F.lit(b"\x06")).otherwise(b), "CASE WHEN o_orderkey % 3 <> 0 THEN o_orderstatus END"),
+    "union_branch": ('["null","long"]', lambda: F.col("o_orderkey"), lambda b: F.when(F.col("o_orderkey") % 3 == 0, F.lit(b"\x04\x02")).otherwise(b), "CASE WHEN o_orderkey % 3 <> 0 THEN o_orderkey END"),
+    "array_size": ('{"type":"array","items":"long"}', lambda: F.array("o_orderkey"), lambda b: F.when(F.col("o_orderkey") % 3 == 0, F.concat(F.lit(b"\x01\x7e"), F.substring(b, F.lit(3), F.lit(100)))).otherwise(b), "CASE WHEN o_orderkey % 3 <> 0 THEN [o_orderkey] END"),
+}
+
+for _name, (_schema, _value, _damage, _sql) in DAMAGES.items():
+
+    def _damaged(spark, d, schema=_schema, value=_value, damage=_damage):
+        rows = table(spark, d, "orders").withColumn("_b", to_binary(value(), schema))
+        return rows.select(F.col("o_orderkey").alias("id"), from_binary(damage(F.col("_b")), schema, permissive=True).alias("value"))
+
+    query(f"damaged_{_name}", f"SELECT o_orderkey AS id, {_sql} AS value FROM orders")(_damaged)
+
 for _name, (_table, _key, _value, _schema, _sql) in ENCODINGS.items():
 
     def _encoding(spark, d, t=_table, key=_key, value=_value, schema=_schema):

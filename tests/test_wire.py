@@ -185,3 +185,62 @@ def test_times_before_the_epoch_floor():
     assert W.decode(s, W.encode(s, datetime.datetime(1969, 12, 31, 23, 59, 59, 999500))) == -1000
     s = S.logical("uuid")
     assert W.decode(s, W.encode(s, uuid.UUID(int=5))) == str(uuid.UUID(int=5))
+
+
+def test_lowered_and_host_types():
+    import dataclasses
+    import datetime
+    import enum
+    import uuid
+
+    from quillrow import derive
+    from quillrow import wire as W
+
+    class Kind(enum.Enum):
+        A = 1
+        B = 2
+
+    class Celsius:
+        def __init__(self, degrees):
+            self.degrees = degrees
+
+    @dataclasses.dataclass
+    class Reading:
+        at: datetime.datetime
+        kind: Kind
+        warm: object
+        many: list
+        by: dict
+        pair: tuple
+        name: object
+        own: uuid.UUID
+        clock: datetime.time
+
+    Reading.__annotations__ |= {"warm": Celsius, "many": list[Celsius], "by": dict[str, Kind], "pair": tuple[int, str], "name": str | None}
+    derive.lowers(Celsius, float, lambda c: c.degrees, Celsius)
+    assert derive.schema_of(Celsius) == derive.schema_of(float)
+    x = Reading(datetime.datetime(2020, 1, 2, 3, 4, 5, 6), Kind.B, Celsius(1.5), [Celsius(2.0), Celsius(-1.0)], {"k": Kind.A}, (3, "x"), None, uuid.UUID(int=7), datetime.time(1, 2, 3, 4))
+    back = derive.decode_as(Reading, W.encode(derive.schema_of(Reading), x))
+    assert (back.at, back.kind, back.warm.degrees, [c.degrees for c in back.many]) == (x.at, x.kind, 1.5, [2.0, -1.0])
+    assert (back.by, back.pair, back.name, back.own, back.clock) == (x.by, x.pair, None, x.own, x.clock)
+    for kind, value in ((int | str | None, 5), (int | str | None, "s"), (int | str | None, None), (list[int | None], [1, None])):
+        schema = derive.schema_of(kind)
+        if kind == int | str | None and value is not None:
+            members = [t for t in (int, str)]
+            wrapped = {f"member{k}": value if isinstance(value, t) else None for k, t in enumerate(members)}
+            assert derive.decode_as(kind, W.encode(schema, wrapped)) == value
+        else:
+            assert derive.decode_as(kind, W.encode(schema, value)) == value
+
+
+def test_debugging_shows_messages():
+    import io
+    import logging
+
+    from quillrow.debug import LOG, debugging
+
+    out = io.StringIO()
+    with debugging(stream=out):
+        logging.getLogger("quillrow").debug("%d splits", 3)
+    LOG.debug("not shown")
+    assert out.getvalue() == "quillrow DEBUG 3 splits\n"
