@@ -11,6 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillrow.llm import chat, exact_dedup, language, licenses, lm_score, mixing, near_dedup, packing, quality, sharding
+from quillrow.llm.components import components
 
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -195,6 +196,20 @@ def test_small_blocks_find_the_same(make, near_rows, monkeypatch):
     assert found == len(_brute_classes(near_rows))
 
 
+def test_components_against_brute_force(spark):
+    rng = np.random.default_rng(30)
+    pairs = [(int(a), int(b)) for a, b in rng.integers(0, 400, (260, 2))] + [(k, k + 1) for k in range(1000, 1060)] + [(2000, k) for k in range(2001, 2100)] + [(7, 7), (3000, 3000)]
+    label = {x: x for p in pairs for x in p if p[0] != p[1]}
+    while any(label[a] != label[b] for a, b in pairs if a != b):
+        for a, b in pairs:
+            if a != b:
+                label[a] = label[b] = min(label[a], label[b])
+    again = pairs + [(b, a) for a, b in pairs[:100]] + pairs[:50]
+    found = components(spark.createDataFrame(again, "a long, b long")).collect()
+    assert Counter((r["node"], r["component"]) for r in found) == Counter(label.items())
+    assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
 def test_alignment_against_a_table():
     rng = np.random.default_rng(0)
     for _ in range(200):
