@@ -191,3 +191,42 @@ def test_stream(spark, tmp_path):
     query = stream.writeStream.foreachBatch(write_container_batch(str(tmp_path / "out"))).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
     query.awaitTermination(120)
     assert tables.read_container(spark, str(tmp_path / "out")).count() == 6
+
+
+def test_stream_by_byte_ranges(spark, tmp_path):
+    """Files of many blocks, read by many tasks, each row once."""
+    record = S.parse('{"type":"record","name":"r","fields":[{"name":"a","type":"long"},{"name":"s","type":"string"}]}')
+    source = tmp_path / "in"
+    source.mkdir()
+    for k in range(3):
+        (source / f"{k}.bin").write_bytes(C.write_bytes(record, [{"a": 1000 * k + i, "s": "x" * (i % 7)} for i in range(400)], "deflate", 200))
+    stream = read_container_stream(spark, str(source), S.render(record), 2, split_bytes=333)
+    query = stream.writeStream.foreachBatch(write_container_batch(str(tmp_path / "out"))).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+    query.awaitTermination(120)
+    rows = tables.read_container(spark, str(tmp_path / "out")).collect()
+    assert sorted((r["a"], r["s"]) for r in rows) == [(1000 * k + i, "x" * (i % 7)) for k in range(3) for i in range(400)]
+
+
+def test_scratch_is_released(spark, frame):
+    import os
+
+    from quillrow.runtime import release, scratch
+
+    release(spark)
+    path = tables.write_container(frame, scratch(spark, "container"))
+    inner = path.removeprefix("file://").removeprefix("file:")
+    assert os.listdir(inner) and release(spark) == 1 and not os.path.exists(inner) and release(spark) == 0
+
+
+def test_shared_folder_is_needed_on_a_cluster(monkeypatch):
+    from types import SimpleNamespace
+
+    from quillrow.runtime import shared_dir
+
+    nothing = SimpleNamespace(get=lambda *a: None, set=lambda *a: None)
+    session = lambda master: SimpleNamespace(conf=nothing, sparkContext=SimpleNamespace(master=master, getCheckpointDir=lambda: None))
+    with pytest.raises(RuntimeError):
+        shared_dir(session("spark://host:7077"))
+    with pytest.raises(RuntimeError):
+        shared_dir(session("local-cluster[2,1,1024]"))
+    assert shared_dir(session("local[2]")).startswith("file://")
