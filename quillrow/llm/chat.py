@@ -64,7 +64,7 @@ MAPPINGS = (
     Mapping("prompt and completion", ("prompt",), ("completion", "system"), turns=(("system", ("system",)), ("user", ("prompt",)), ("assistant", ("completion",)))),
     Mapping("prompt and response", ("prompt", "response"), ("system",), turns=(("system", ("system",)), ("user", ("prompt",)), ("assistant", ("response",)))),
     Mapping("instruction", ("instruction",), ("input", "output", "system"), turns=(("system", ("system",)), ("user", ("instruction", "input")), ("assistant", ("output",)))),
-    Mapping("question and answer", ("qa.answer", "qa.question"), turns=(("user", ("qa.question",)), ("assistant", ("qa.answer",)))),
+    Mapping("question and answer", ("qa.question",), ("qa.answer",), turns=(("user", ("qa.question",)), ("assistant", ("qa.answer",)))),
 )
 TURN = "array<struct<role:string,text:string>>"
 
@@ -83,7 +83,7 @@ def field_paths(schema: T.StructType) -> list[str]:
 
 
 def fingerprint(df: DataFrame) -> Column:
-    """The hash of the paths, known to some mapping, that a record has a value at."""
+    """The hash of the paths, known to some mapping, that a record has a value at; a list has all paths of its items."""
     known = {p for m in MAPPINGS for p in m.needs + m.may}
     there = [F.when(F.col(p.split("[]")[0]).isNotNull(), F.lit(p)) for p in sorted(known.intersection(field_paths(df.schema)))]
     return F.xxhash64(F.concat_ws(",", *there) if there else F.lit(""))

@@ -7,7 +7,7 @@ or leaves, few slots but its own change hands.
 
 Defined cases: a null key hashes as the empty text; equal keys share a shard; rows that repeat are
 all placed; an empty table gives an empty result. All columns of the input are kept by ``place``;
-an input column named slot or shard is replaced.
+an input column named slot or shard gets the name given_slot or given_shard.
 """
 
 from __future__ import annotations
@@ -55,10 +55,15 @@ def lookup_table(spark: SparkSession, names: list[str], slots: int = SLOTS) -> D
 
 def place(df: DataFrame, key: str, names: list[str], slots: int = SLOTS) -> DataFrame:
     """df with the slot and the shard of each row's key."""
+    given = {c: f"given_{c}" for c in ("slot", "shard") if c in df.columns}
+    if taken := set(given.values()).intersection(df.columns):
+        raise ValueError(f"columns {sorted(taken)} stand in the way of {sorted(given)}")
     digest = F.substring(F.md5(F.coalesce(F.col(key).cast("string"), F.lit(""))), 1, 8)
     slot = (F.conv(digest, 16, 10).cast("long") % slots).cast("int")
     shards = F.broadcast(lookup_table(df.sparkSession, names, slots))  # bounded by slots
-    return df.drop("shard").withColumn("slot", slot).join(shards, "slot").select(*(c for c in df.columns if c not in ("slot", "shard")), "slot", "shard")
+    kept = [given.get(c, c) for c in df.columns]
+    own = df.select(*(F.col(f"`{c}`").alias(name) for c, name in zip(df.columns, kept, strict=True)), slot.alias("slot"))
+    return own.join(shards, "slot").select(*(F.col(f"`{c}`") for c in kept), "slot", "shard")
 
 
 def write_shards(df: DataFrame, path: str) -> None:

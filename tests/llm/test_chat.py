@@ -59,6 +59,15 @@ def test_lists_beside_other_columns(spark):
     assert {r["conv_id"] for r in lost} == {4, 5} - set(found) and len({r["fingerprint"] for r in lost}) == len(lost) == 2
 
 
+def test_nested_paths(spark):
+    """Presence is that of the nested value, not of the struct around it."""
+    rows = [(1, ("q", "a")), (2, ("q", None)), (3, (None, "a")), (4, None)]
+    df = spark.createDataFrame(rows, "conv_id long, qa struct<question:string,answer:string>")
+    found = {r["conv_id"]: r["formatted"] for r in chat.format_chats(df.filter("conv_id < 4")).collect()}
+    assert found == {1: "<s>[INST] q [/INST]</s><s>a</s>", 2: "<s>[INST] q [/INST]</s>"}
+    assert [r["conv_id"] for r in chat.unrecognised(df.filter("conv_id < 4")).collect()] == [3]
+
+
 def test_query_plants_its_conversation(spark, tmp_path):
     spark.createDataFrame([(0, 0, "user", "x")], "conv_id long, turn long, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
     found = {r["conv_id"]: r for r in chat.op2_chat_formatting(spark, str(tmp_path)).collect()}
