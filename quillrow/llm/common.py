@@ -36,6 +36,20 @@ def let(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+#: DuckDB SQL for a text with its letters A-Z in lower case, for its words, and for the CRC-32 of ASCII text, bit by bit.
+SQL_LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+SQL_WORDS = r"regexp_extract_all({}, '[^\x20\x09-\x0D]+')"
+SQL_CRC32 = (
+    "(CASE WHEN {0} = '' THEN 0 ELSE xor(list_reduce([4294967295::BIGINT] || flatten(list_transform(string_split({0}, ''), lambda c: [ascii(c)::BIGINT, 0, 0, 0, 0, 0, 0, 0])),"
+    " lambda c, b: xor(xor(c, b) >> 1, (xor(c, b) & 1) * 3988292384)), 4294967295) END)"
+)
+
+
+def named(i: str | Column) -> Column:
+    """An id as a key that is never null, so that a join deals rows out by it once, for a window or a grouping too."""
+    return F.xxhash64(F.isnull(i), i)
+
+
 def row_hash(df: DataFrame) -> Column:
     """A hash of all columns of a row: an order in which only rows that repeat tie, so that reruns choose alike."""
 
@@ -56,7 +70,11 @@ def kept_by_worker(make, text: str):
 
 
 def small_batches(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
-    """The same rows in small batches, so that few texts are Python objects at once; memory that a batch took is given back."""
+    """The same rows in small batches, so that few texts are Python objects at once; memory that a batch took is given back.
+
+    What the worker keeps from tasks of another kind is given back too.
+    """
+    sys.modules.pop("_kept_by_worker", None)
     for batch in batches:
         for at in range(0, batch.num_rows, rows):
             yield batch.slice(at, rows)

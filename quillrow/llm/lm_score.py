@@ -38,6 +38,7 @@ Other columns are ignored.
 from __future__ import annotations
 
 import pickle
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -50,7 +51,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillrow.llm.common import checkpoint, ship, table, text_or_empty
+from quillrow.llm.common import SQL_CRC32, SQL_LOWER, SQL_WORDS, checkpoint, ship, small_batches, table, text_or_empty
 
 #: Discounts and strengths of context restaurants and of their parent.
 DISCOUNT, STRENGTH = 0.75, 1.0
@@ -60,12 +61,14 @@ FIRST_STEPS, BURN_IN, SAMPLES = 4, 4, 4
 #: Generalized Stirling numbers are tabled up to so many customers; beyond, they are a series of so many terms up to so many times customers ** discount tables.
 TABLED, TERMS, SERIES = 1024, 160, 2.5
 #: Characters of text for one bucket, and tokens of a unit.
-BUCKET_CHARS, UNIT_TOKENS = 40_000_000, 5_000_000
+BUCKET_CHARS, UNIT_TOKENS = 20_000_000, 5_000_000
 SEED = 11
 #: Probabilities travel as logarithms with so many binary places.
 SCORE_BITS = 18
 #: Ids of the start of a text and of the end token; words have their hash.
 START, END = 1, 2
+#: Pairs are numbered by bucket, context and word where that fits.
+LARGEST_CODE = (1 << 63) - 1
 
 
 def _dump(**arrays: np.ndarray) -> bytes:
@@ -112,36 +115,49 @@ def _unit(ids: list[np.ndarray], docs: list[tuple[int | None, bool]], vocabulary
     names = np.fromiter((xxhash.xxh3_64_intdigest(w) for w in vocabulary), np.uint64, len(vocabulary))
     names = np.concatenate((names, np.array([START, END], np.uint64)))
     v = len(names)
+    # Words are numbered by name, so that pairs come by bucket, context and word.
+    number = np.empty(v, np.int32)
+    number[np.argsort(names, kind="stable")] = np.arange(v, dtype=np.int32)
+    names, start, end = np.sort(names), number[v - 2], number[v - 1]
     lengths = np.fromiter((len(x) + 1 for x in ids), np.int64, len(ids))
     ends = np.cumsum(lengths) - 1
-    words = np.empty(int(lengths.sum()), np.int64)
-    words[ends] = v - 1
+    words = np.full(int(lengths.sum()), end, np.int32)
     inner = np.ones(len(words), bool)
     inner[ends] = False
-    words[inner] = np.concatenate(ids) if ids else []
-    contexts = np.concatenate(([v - 2], words[:-1]))
-    contexts[ends[:-1] + 1] = v - 2
+    words[inner] = number[np.concatenate(ids)] if ids else []
+    contexts = np.concatenate((number[v - 2 : v - 1], words[:-1]))
+    contexts[ends[:-1] + 1] = start
+    bucket = (_mix(names) % np.uint64(buckets)).astype(np.int64)[contexts]
+    parts = _split_of(names, hot)
+    for at in np.array_split(np.flatnonzero(parts[contexts] > 1), 8):  # the words of split contexts have buckets of their own
+        part = (names[words[at]] >> np.uint64(20)) % parts[contexts[at]]
+        bucket[at] = _mix(names[contexts[at]] + part * np.uint64(0x9E3779B97F4A7C15)) % np.uint64(buckets)
     doc = np.repeat(np.arange(len(ids), dtype=np.int32), lengths)
-
-    # Words are numbered by name and contexts by bucket, so that pairs come by bucket, context and word.
-    part = (names[words] >> np.uint64(20)) % _split_of(names, hot)[contexts]
-    bucket = _mix(names[contexts] + part * np.uint64(0x9E3779B97F4A7C15)) % np.uint64(buckets)
-    by_name = np.empty(v, np.int64)
-    by_name[np.argsort(names, kind="stable")] = np.arange(v)
-    names = np.sort(names)
-    u, w = by_name[contexts], by_name[words]
-    order = np.lexsort((w, u, bucket))  # keeps documents in order within a pair
-    bucket, u, w, doc = bucket[order], u[order], w[order], doc[order]
-    new = np.concatenate(([True], (u[1:] != u[:-1]) | (w[1:] != w[:-1]) | (bucket[1:] != bucket[:-1])))
-    entry = np.flatnonzero(new | np.concatenate(([True], doc[1:] != doc[:-1])))
-    times = np.diff(np.concatenate((entry, [len(u)])))
-    first = np.flatnonzero(new[entry])
+    if buckets * v * v <= LARGEST_CODE:
+        code = bucket  # bucket, context and word in one number
+        for array in (contexts, words):
+            code *= v
+            code += array
+        del bucket, contexts, words, inner
+        order = np.argsort(code, kind="stable")  # keeps documents in order within a pair
+        code = code[order]
+        triple = lambda code, at: (*np.divmod(code[at] // v, v), code[at] % v)
+    else:
+        order = np.lexsort((words, contexts, bucket))
+        sorted_ = [x[order] for x in (bucket, contexts, words)]
+        code = np.cumsum(np.concatenate(([False], np.any([x[1:] != x[:-1] for x in sorted_], axis=0))))
+        triple = lambda code, at: tuple(x[at].astype(np.int64) for x in sorted_)
+    doc = doc[order]
+    del order
+    entry = np.flatnonzero(np.concatenate(([True], (code[1:] != code[:-1]) | (doc[1:] != doc[:-1]))))
+    times = np.diff(np.concatenate((entry, [len(code)]))).astype(np.int32)
+    first = np.flatnonzero(np.concatenate(([True], code[entry][1:] != code[entry][:-1])))
+    entries = np.diff(np.concatenate((first, [len(entry)]))).astype(np.int32)
+    bucket, u, w = triple(code, entry[first])
     doc = doc[entry]
-    entries = np.diff(np.concatenate((first, [len(entry)])))
+    del code, entry
     train = np.fromiter((not held for _, held in docs), bool, len(docs))
     trained = np.add.reduceat(np.where(train[doc], times, 0), first).astype(np.int32)
-    at = entry[first]
-    bucket, u, w = bucket[at], u[at], w[at]
     cuts = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1], [True])))
     for x, y in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
         own, local = np.unique(np.concatenate((u[x:y], w[x:y])), return_inverse=True)
@@ -150,9 +166,9 @@ def _unit(ids: list[np.ndarray], docs: list[tuple[int | None, bool]], vocabulary
     known = np.fromiter((d is not None for d, _ in docs), bool, len(docs))
     ids_ = np.fromiter((d or 0 for d, _ in docs), np.int64, len(docs))
     # Within a pair documents rise, so their steps are small numbers.
-    steps = np.diff(doc, prepend=0)
+    steps = np.diff(doc, prepend=np.int32(0))
     steps[first] = doc[first]
-    yield -1, True, _dump(doc_id=ids_, known=known, held=~train, tokens=lengths, entries=entries.astype(np.int32), doc=steps.astype(np.int32), times=times.astype(np.int32))
+    yield -1, True, _dump(doc_id=ids_, known=known, held=~train, tokens=lengths, entries=entries, doc=steps, times=times)
 
 
 def _units(buckets: int, hot):
@@ -163,12 +179,12 @@ def _units(buckets: int, hot):
 
         def flush():
             for b, is_docs, payload in _unit(ids, docs, vocabulary, buckets, hot_):
-                b = unit % buckets if is_docs else b
+                b = -1 - unit % (1 << 24) - (unit >> 24) * 64 if is_docs else b  # keys of their own
                 yield pa.RecordBatch.from_pydict(
                     {"bucket": pa.array([b], pa.int32()), "unit": pa.array([unit], pa.int64()), "is_docs": pa.array([is_docs]), "payload": pa.array([payload], pa.binary())}
                 )
 
-        for batch in batches:
+        for batch in small_batches(batches):
             for text, doc, held in zip(*(batch.column(c).to_pylist() for c in ("text", "doc_id", "held_out")), strict=True):
                 words = text.encode("utf-8", "replace").lower().split()  # bytes: A-Z alone
                 ids.append(np.fromiter(map(vocabulary.__getitem__, words), np.int32, len(words)))
@@ -371,7 +387,8 @@ def _stage_types(partitions: int, hot):
 def _stage_b(partitions: int, hot):
     def run(key, left, right):
         b = _Bucket([p for _, p in _payloads(left, False)], hot.value)
-        b, _ = _seated(b, hot.value, _answered(b, right, partitions, False)[2])
+        if len(b.names):
+            b, _ = _seated(b, hot.value, _answered(b, right, partitions, False)[2])
         return _asked(b, key[0].as_py(), partitions)
 
     return run
@@ -417,6 +434,8 @@ def _stage_c(partitions: int, only_sums: bool):
 def _stage_d(partitions: int, hot):
     def run(key, left, right):
         units = _payloads(left, False)
+        if not units:  # documents alone
+            return told(key, [(unit, True, payload) for unit, payload in _payloads(left, True)], 0, 0)
         b = _Bucket([p for _, p in units], hot.value)
         b, _ = _seated(b, hot.value, _answered(b, right, partitions, False)[2])  # as in B
         v = len(b.names)
@@ -436,8 +455,9 @@ def _stage_d(partitions: int, hot):
         logs = np.rint(-np.log10(p) * 2.0**SCORE_BITS).astype(np.int32)
         counts = c[b.w].astype(np.int64)
         counts = counts.astype(np.int32) if counts.max(initial=0) < 1 << 31 else counts
-        rows = [(unit, False, _dump(logs=logs[index], c=counts[index])) for (unit, _), index in zip(units, b.parts, strict=True)]
-        rows += [(unit, True, payload) for unit, payload in _payloads(left, True)]
+        return told(key, [(unit, False, _dump(logs=logs[index], c=counts[index])) for (unit, _), index in zip(units, b.parts, strict=True)], n_train, distinct)
+
+    def told(key, rows, n_train, distinct):
         n = len(rows)
         return pa.table(
             {
@@ -484,15 +504,13 @@ def _frequent(share: float):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            vocabulary = _Vocabulary()
-            ids = [np.fromiter(map(vocabulary.__getitem__, w), np.int32, len(w)) for w in (t.encode("utf-8", "replace").lower().split() for t in batch.column("text").to_pylist())]
-            ids = np.concatenate(ids) if ids else np.zeros(0, np.int32)
-            counts = np.bincount(ids, minlength=len(vocabulary))
-            words = list(vocabulary)
-            often = np.flatnonzero(counts > max(8, share * len(ids)))
-            names = [xxhash.xxh3_64_intdigest(words[i]) for i in often.tolist()] + [START, END]
-            n = [*counts[often].tolist(), batch.num_rows, len(ids) + batch.num_rows]
-            yield pa.RecordBatch.from_pydict({"name": pa.array(np.array(names, np.uint64).view(np.int64)), "n": pa.array(n, pa.int64())})
+            counts: Counter[bytes] = Counter()
+            for text in batch.column("text").to_pylist():
+                counts.update(text.encode("utf-8", "replace").lower().split())
+            tokens = counts.total()
+            often = [(xxhash.xxh3_64_intdigest(w), n) for w, n in counts.items() if n > max(8, share * tokens)]
+            often += [(START, batch.num_rows), (END, tokens + batch.num_rows)]
+            yield pa.RecordBatch.from_pydict({"name": pa.array(np.array([k for k, _ in often], np.uint64).view(np.int64)), "n": pa.array([n for _, n in often], pa.int64())})
 
     return run
 
@@ -544,5 +562,22 @@ def op1_lm_scoring(spark, sf_dir):
     return score(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_lm_scoring": op1_lm_scoring}
-ORACLE_SQL: dict[str, str] = {}
+def lm_base_scores(spark, sf_dir):
+    """What of op1 SQL can express: the counts and the base score."""
+    return op1_lm_scoring(spark, sf_dir).select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", F.round("base_score", 3).alias("base_score"))
+
+
+QUERIES = {"op1_lm_scoring": op1_lm_scoring, "lm_base_scores": lm_base_scores}
+ORACLE_SQL = {
+    "lm_base_scores": f"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, {SQL_CRC32.format("coalesce(doc_id::VARCHAR, '')")} % 7 = 2 AS held_out,
+         {SQL_WORDS.format(SQL_LOWER.format("coalesce(text, '')"))} || [''] AS ws
+  FROM documents),
+w AS (SELECT r, held_out, unnest(ws) AS word FROM d),
+c AS (SELECT word, count(*) AS c FROM w WHERE NOT held_out GROUP BY word),
+n AS (SELECT coalesce(sum(c), 0)::BIGINT AS n, count(*) AS v FROM c)
+SELECT any_value(doc_id) AS doc_id, any_value(d.held_out) AS held_out, count(*) AS n_tokens, count(c.c) AS n_known, any_value(n.n) AS train_tokens,
+       round(sum(log10((coalesce(c.c, 0) + 1) / (n.n + n.v + 1))), 3) AS base_score
+FROM d JOIN w USING (r) LEFT JOIN c USING (word), n GROUP BY r"""
+}
