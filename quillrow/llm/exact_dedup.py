@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillrow.llm.common import checkpoint, row_hash, ship, table, text_or_empty
+from quillrow.llm.common import checkpoint, named, row_hash, ship, table, text_or_empty
 
 #: Bytes that do not count when texts are compared.
 DELETED = b" \t\n\v\f\r"
@@ -199,12 +200,12 @@ def exact_groups(docs: DataFrame, hash_bits: int = 64) -> DataFrame:
 
 def exact_dedup(docs: DataFrame) -> DataFrame:
     """The rows of docs that stay, with all their columns."""
-    keep = exact_groups(docs).filter("kept").select(F.col("doc_id").alias("_keep_id"), F.col("text_sha256").alias("_keep_sha"))
-    bare = F.translate(text_or_empty(), " \t\n\x0b\x0c\r", "")
-    own = docs.withColumns({"_own_sha": F.sha2(bare, 256), "_order": row_hash(docs)})
-    own = own.join(keep, own["doc_id"].eqNullSafe(F.col("_keep_id")) & (F.col("_own_sha") == F.col("_keep_sha")), "left_semi")
-    # Equal texts under one doc_id: the longest stays, then the first by its columns' hash. The join has dealt the rows by these keys already.
-    order = Window.partitionBy("doc_id", "_own_sha").orderBy(F.length(text_or_empty()).desc(), "_order")
+    keep = exact_groups(docs).filter("kept").select(named("doc_id").alias("_name"), F.col("text_sha256").alias("_sha"))
+    bare = reduce(lambda text, space: F.replace(text, F.lit(space), F.lit("")), " \n\t\r\x0b\x0c", text_or_empty())
+    sha = F.coalesce(F.sha2(bare, 256), F.lit(""))  # never null: else a filter would compute it once more
+    own = docs.withColumns({"_name": named("doc_id"), "_sha": sha, "_order": row_hash(docs)}).join(keep, ["_name", "_sha"], "left_semi")
+    # Equal texts under one doc_id: the longest stays, then the first by its columns' hash.
+    order = Window.partitionBy("_name", "_sha").orderBy(F.length(text_or_empty()).desc(), "_order")
     return own.withColumn("_place", F.row_number().over(order)).filter("_place = 1").select(*docs.columns)
 
 

@@ -24,7 +24,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillrow.llm.common import let, table, text_or_empty
+from quillrow.llm.common import SQL_LOWER, let, table, text_or_empty
 
 GAPS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
@@ -382,5 +382,24 @@ def op8_license_scan(spark, sf_dir):
     return scan(table(spark, sf_dir, "documents")).drop("phrase_starts")
 
 
-QUERIES = {"op8_license_scan": op8_license_scan}
-ORACLE_SQL: dict[str, str] = {}
+def license_places(spark, sf_dir):
+    """What of op8 SQL can express: the places and labels of the base phrases."""
+    return op8_license_scan(spark, sf_dir).drop("labels", "score")
+
+
+QUERIES = {"op8_license_scan": op8_license_scan, "license_places": license_places}
+ORACLE_SQL = {
+    "license_places": rf"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id,
+         regexp_extract_all({SQL_LOWER.format("coalesce(text, '')")}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws
+  FROM documents),
+p AS (SELECT * FROM (VALUES {", ".join(f"('{phrase}', '{label}', {len(phrase.split())})" for phrase, label in PHRASES.items())}) v(phrase, label, n)),
+found AS (
+  SELECT r, i, label FROM (SELECT r, ws, unnest(range(1, len(ws) + 1)) AS i FROM d), p
+  WHERE ws[i] = split_part(phrase, ' ', 1) AND array_to_string(ws[i:i + n - 1], ' ') = phrase)
+SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n, 0)::BIGINT AS n_base, first_word, last_word, coalesce(labels, '') AS base_labels
+FROM d LEFT JOIN (
+  SELECT r, count(*) AS n, min(i) - 1 AS first_word, max(i) - 1 AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) AS labels
+  FROM found GROUP BY r) USING (r)"""
+}

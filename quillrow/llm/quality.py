@@ -21,9 +21,11 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillrow.llm.common import WORD, checkpoint, let, table, text_or_empty, words
+from quillrow.llm.common import SQL_WORDS, WORD, checkpoint, let, table, text_or_empty, words
 
 WINDOW = 8
+#: Characters that count as symbols and as ends of sentences or clauses.
+SYMBOLS, STOPS = "#*$%&|<>", ".,;:!?"
 BINS = 24
 MOST_CONDITIONS = 4
 MOST_RULES = 12
@@ -32,11 +34,11 @@ PRECISION = 0.97
 SUPPORT = 5
 
 
-def _repeated(w: Column) -> Column:
-    """Words inside 8-word windows that the text holds twice or more."""
+def _repeated(w: Column, h: Column) -> Column:
+    """Words inside 8-word windows that the text holds twice or more; h: the words' hashes."""
     n = F.size(w)
     starts = F.sequence(F.lit(1), n - (WINDOW - 1))
-    hashes = F.transform(starts, lambda i: F.xxhash64(*(F.get(w, i + (k - 1)) for k in range(WINDOW))))
+    hashes = F.transform(starts, lambda i: F.xxhash64(*(F.get(h, i + (k - 1)) for k in range(WINDOW))))
     # Only texts with a repeated hash are looked at by the windows themselves.
     sorted_windows = F.array_sort(F.transform(starts, lambda i: F.struct(F.array_join(F.slice(w, i, WINDOW), " ").alias("key"), i.alias("at"))))
 
@@ -50,7 +52,7 @@ def _repeated(w: Column) -> Column:
         )
         return let(F.array_sort(F.array_compact(places)), lambda p: F.when(F.size(p) == 0, F.lit(0).cast("long")).otherwise(steps(p)))
 
-    repeats = let(hashes, lambda h: F.size(h) > F.size(F.array_distinct(h)))
+    repeats = let(hashes, lambda x: F.size(x) > F.size(F.array_distinct(x)))
     return F.when((n > WINDOW) & repeats, let(sorted_windows, covered)).otherwise(F.lit(0).cast("long"))
 
 
@@ -76,15 +78,13 @@ COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
 
 def _counts(text: Column) -> Column:
     long = lambda c: c.cast("long")
-    of_words = let(
-        words(text),
-        lambda w: F.struct(
-            long(F.size(w)).alias("n_words"),
-            long(F.length(F.array_join(w, ""))).alias("word_chars"),
-            _repeated(w).alias("n_repeat_words"),
-            long(F.size(F.array_distinct(w))).alias("n_distinct"),
-        ),
+    counted = lambda w, h: F.struct(
+        long(F.size(w)).alias("n_words"),
+        long(F.length(F.array_join(w, ""))).alias("word_chars"),
+        _repeated(w, h).alias("n_repeat_words"),
+        long(F.size(F.array_distinct(h))).alias("n_distinct"),
     )
+    of_words = let(words(text), lambda w: let(F.transform(w, lambda x: F.xxhash64(x)), lambda h: counted(w, h)))
     lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(WORD))
     of_lines = let(lines, lambda x: F.struct(long(F.size(x)).alias("n_lines"), long(F.size(x) - F.size(F.array_distinct(x))).alias("n_dup_lines")))
     return let(
@@ -92,10 +92,7 @@ def _counts(text: Column) -> Column:
         lambda s: F.struct(
             *(s["w"][c].alias(c) for c in ("n_words", "word_chars", "n_repeat_words", "n_distinct")),
             *(s["l"][c].alias(c) for c in ("n_lines", "n_dup_lines")),
-            _count(text, r"[#*$%&|<>]").alias("n_symbols"),
-            _count(text, r"[.,;:!?]").alias("n_stops"),
-            _count(text, r"[A-Z]").alias("n_capitals"),
-            _count(text, r"[0-9]").alias("n_digits"),
+            *(_count(text, f"[{x}]").alias(c) for c, x in (("n_symbols", SYMBOLS), ("n_stops", STOPS), ("n_capitals", "A-Z"), ("n_digits", "0-9"))),
         ),
     )
 
@@ -214,5 +211,26 @@ def op4_quality_rules(spark, sf_dir):
     return found.select(*first, "rule")
 
 
-QUERIES = {"op4_quality_rules": op4_quality_rules}
-ORACLE_SQL: dict[str, str] = {}
+def quality_counts(spark, sf_dir):
+    """What of op4 SQL can express: the counts and the base rule, without the learned verdict."""
+    return op4_quality_rules(spark, sf_dir).drop("kept", "rule")
+
+
+QUERIES = {"op4_quality_rules": op4_quality_rules, "quality_counts": quality_counts}
+ORACLE_SQL = {
+    "quality_counts": rf"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
+w AS (SELECT r, {SQL_WORDS.format("t")} AS ws FROM d),
+windows AS (
+  SELECT r, i, count(*) OVER (PARTITION BY r, array_to_string(ws[i:i + {WINDOW - 1}], ' ')) AS times
+  FROM (SELECT r, ws, unnest(range(1, len(ws) - {WINDOW - 2})) AS i FROM w)),
+repeats AS (SELECT r, count(DISTINCT p) AS n FROM (SELECT r, unnest(range(i, i + {WINDOW})) AS p FROM windows WHERE times > 1) GROUP BY r),
+lines AS (
+  SELECT r, count(*) - count(DISTINCT line) AS n FROM (SELECT r, unnest(string_split(t, chr(10))) AS line FROM d)
+  WHERE regexp_matches(line, '[^ 	-
+]') GROUP BY r)
+SELECT doc_id, len(ws)::BIGINT AS n_words, length(array_to_string(ws, ''))::BIGINT AS word_chars,
+       len(regexp_extract_all(t, '[#*$%&|<>]'))::BIGINT AS n_symbols, coalesce(lines.n, 0)::BIGINT AS n_dup_lines,
+       coalesce(repeats.n, 0)::BIGINT AS n_repeat_words, len(ws) < 20 OR 100 * coalesce(repeats.n, 0) > 30 * len(ws) AS base_failed
+FROM d JOIN w USING (r) LEFT JOIN lines USING (r) LEFT JOIN repeats USING (r)"""
+}

@@ -275,6 +275,66 @@ def test_quality_learns_rules(spark, make):
     assert quality.learn(quality.statistics(docs), labels.limit(0)) == []
 
 
+def _brute_rules(rows, cuts):
+    """Sequential covering over (features, bad, held), trying every condition on every row."""
+    rules, left = [], rows
+    holds = lambda c, f: all((f[n] <= t) == at_most for n, at_most, t in c)
+    names = list(quality.FEATURES)
+    while len(rules) < quality.MOST_RULES:
+        grown = []
+        while len(grown) < quality.MOST_CONDITIONS:
+            inside = [(f, bad) for f, bad, held in left if not held and holds(grown, f)]
+            p0, n0 = sum(b for _, b in inside), sum(not b for _, b in inside)
+            best, choice = 1e-9, None
+            if p0 and n0:
+                for name in names:
+                    for t in cuts[name]:
+                        for at_most in (True, False):
+                            p = sum(b for f, b in inside if (f[name] <= t) == at_most)
+                            n = sum(not b for f, b in inside if (f[name] <= t) == at_most)
+                            gain = p * (math.log2(p / (p + n)) - math.log2(p0 / (p0 + n0))) if p else 0.0
+                            if gain > best * (1 + 1e-12):
+                                best, choice = gain, (name, at_most, t)
+            if choice is None:
+                break
+            grown.append(choice)
+        if not grown:
+            break
+        worth = []
+        for k in range(1, len(grown) + 1):
+            there = [bad for f, bad, held in left if held and holds(grown[:k], f)]
+            p, n = sum(there), len(there) - sum(there)
+            worth.append(((p - n) / max(1, p + n), p, -k, n))
+        _, p, k, n = max(worth)
+        k = -k
+        if p < quality.SUPPORT or p < quality.PRECISION * (p + n):
+            break
+        rules.append(grown[:k])
+        left = [x for x in left if not holds(grown[:k], x[0])]
+    return rules
+
+
+def test_quality_rules_against_brute_force(spark, make):
+    rng = np.random.default_rng(34)
+    words = [f"w{k}" for k in range(500)]
+    rows = []
+    for i in range(900):
+        own = list(rng.choice(words, int(rng.integers(15, 70))))
+        if i % 4 == 0:
+            own = [x + "#" * int(rng.integers(1, 3)) if rng.random() < 0.4 else x for x in own]
+        elif i % 7 == 0:
+            own = [str(rng.choice(words[:5])) for _ in own]
+        rows.append((i, " ".join(own) + ("." if rng.random() < 0.5 else ""), "en", "a"))
+    bad = {i: (i % 4 == 0 or i % 7 == 0) != (rng.random() < 0.01) for i in range(900)}
+    labels = spark.createDataFrame([(i, int(not b), 0) for i, b in bad.items()], "doc_id long, quality int, toxic int")
+    counts = quality.statistics(make(rows)).withColumn("held", F.pmod(F.xxhash64("doc_id"), F.lit(3)) == 0).select("doc_id", "held", *(e(F.col).alias(f"f_{c}") for c, e in quality.FEATURES.items()))
+    told = [({c: r[f"f_{c}"] for c in quality.FEATURES}, bad[r["doc_id"]], r["held"]) for r in counts.collect()]
+    cuts = counts.select(*(F.percentile_approx(f"f_{c}", [i / quality.BINS for i in range(1, quality.BINS)], 2000).alias(c) for c in quality.FEATURES)).first()
+    expected = _brute_rules(told, {c: sorted(set(cuts[c])) for c in quality.FEATURES})
+    found = [r.conditions for r in quality.learn(quality.statistics(make(rows)), labels)]
+    assert found == [[tuple(c) for c in r] for r in expected] and len(found) >= 2
+
+
 # -- mixing -------------------------------------------------------------------------------------
 
 
@@ -409,10 +469,11 @@ def test_lookup_table():
 
 def test_place(spark, awkward, awkward_rows, tmp_path):
     placed = sharding.place(awkward, "doc_id", ["x", "y", "z"], 101)
-    assert sorted(placed.columns) == sorted(set(awkward.columns) | {"slot", "shard"})
+    assert placed.columns == [f"given_{c}" if c in ("slot", "shard") else c for c in awkward.columns] + ["slot", "shard"]
     owner = sharding.fill(["x", "y", "z"], 101)
     slot = lambda i: int(hashlib.md5(("" if i is None else str(i)).encode()).hexdigest()[:8], 16) % 101
-    rows = placed.select("doc_id", "slot", "shard").collect()
+    rows = placed.select("doc_id", "slot", "shard", "given_slot", "given_shard").collect()
+    assert all(r["given_slot"] == "slot!" and r["given_shard"] == "shard!" for r in rows)
     assert len(rows) == len(awkward_rows) and all(r["slot"] == slot(r["doc_id"]) and r["shard"] == owner[r["slot"]] for r in rows)
     sharding.write_shards(placed, str(tmp_path / "out"))
     assert spark.read.parquet(str(tmp_path / "out")).count() == len(awkward_rows)
@@ -620,6 +681,31 @@ def test_lm_base_and_gain(make, awkward_rows, chars):
     assert sum(r["score"] for r in markov) > 0.75 * sum(r["base_score"] for r in markov) and all(r["score"] < 0 for r in found)
 
 
+def test_lm_units_with_large_numbers(monkeypatch):
+    """Pairs too many to number are sorted by their parts, to the same messages."""
+    rng = np.random.default_rng(33)
+    vocabulary = lm_score._Vocabulary()
+    ids = [np.array([vocabulary[b"%d" % k] for k in rng.integers(0, 40, n)], np.int32) for n in (0, 5, 900, 1, 300)]
+    hot = (np.array([lm_score.xxhash.xxh3_64_intdigest(b"7")], np.uint64), np.array([3], np.uint64))
+    docs = [(k, k % 3 == 2) for k in range(len(ids))]
+    narrow = list(lm_score._unit(ids, docs, vocabulary, 11, hot))
+    monkeypatch.setattr(lm_score, "LARGEST_CODE", 0)
+    wide = list(lm_score._unit(ids, docs, vocabulary, 11, hot))
+    load = lambda rows: [(b, d, {k: (v.dtype, v.tolist()) for k, v in lm_score._load(p).items()}) for b, d, p in rows]
+    assert load(narrow) == load(wide) and len(narrow) > 5
+    pairs = Counter()
+    for x, (_, held) in zip(ids, docs, strict=True):
+        said = [lm_score.START, *(lm_score.xxhash.xxh3_64_intdigest(b"%d" % int(list(vocabulary)[k])) for k in x), lm_score.END]
+        pairs.update({p: 0 if held else n for p, n in Counter(zip(said, said[1:], strict=False)).items()})
+    found = Counter()
+    for _, is_docs, payload in narrow:
+        if not is_docs:
+            p = lm_score._load(payload)
+            names = np.cumsum(p["names"], dtype=np.uint64).tolist()
+            found.update({(names[u], names[w]): n for u, w, n in zip(np.cumsum(p["u"]).tolist(), p["w"].tolist(), p["trained"].tolist(), strict=True)})
+    assert found == pairs and set(found) == set(pairs)
+
+
 def test_lm_predictions_sum_to_one():
     names = np.array([1, 2, 10, 11, 12], np.uint64)
     payload = lm_score._dump(
