@@ -681,6 +681,76 @@ def test_lm_base_and_gain(make, awkward_rows, chars):
     assert sum(r["score"] for r in markov) > 0.75 * sum(r["base_score"] for r in markov) and all(r["score"] < 0 for r in found)
 
 
+def _customer_by_customer(texts, rounds, burn):
+    """Averaged predictions (context, word) -> probability of a two-level Pitman-Yor process, by Gibbs moves of single customers. No code of the operator's."""
+    rng = np.random.default_rng(40)
+    d, th, d0, th0 = lm_score.DISCOUNT, lm_score.STRENGTH, lm_score.PARENT_DISCOUNT, lm_score.PARENT_STRENGTH
+    pairs = [p for t in texts for p in zip(["<s>", *t], [*t, "</s>"], strict=True)]
+    words = sorted({w for _, w in pairs})
+    contexts = ["<s>", *words, "?"]
+    rest, parent = defaultdict(list), defaultdict(list)  # customers by table
+
+    def p0(w):
+        n, tables = sum(map(sum, parent.values())), sum(map(len, parent.values()))
+        return (sum(parent[w]) - d0 * len(parent[w]) + (th0 + d0 * tables) / (len(words) + 1)) / (th0 + n)
+
+    def seat(tables, new, discount):
+        weights = np.array([n - discount for n in tables] + [new])
+        k = int(rng.choice(len(weights), p=weights / weights.sum()))
+        if k == len(tables):
+            tables.append(0)
+        tables[k] += 1
+        return k == len(tables) - 1 and tables[k] == 1
+
+    def leave(tables):
+        k = int(rng.choice(len(tables), p=np.array(tables) / sum(tables)))
+        tables[k] -= 1
+        if not tables[k]:
+            tables.pop(k)
+            return True
+        return False
+
+    def add(u, w):
+        own = sum(len(x) for (a, _), x in rest.items() if a == u)
+        if seat(rest[u, w], (th + d * own) * p0(w), d):
+            seat(parent[w], (th0 + d0 * sum(map(len, parent.values()))) / (len(words) + 1), d0)
+
+    for u, w in pairs:
+        add(u, w)
+    mean = defaultdict(float)
+    for k in range(rounds):
+        for u, w in pairs:
+            if leave(rest[u, w]):
+                leave(parent[w])
+            add(u, w)
+        if k >= burn:
+            for u in contexts:
+                n, tables = sum(sum(x) for (a, _), x in rest.items() if a == u), sum(len(x) for (a, _), x in rest.items() if a == u)
+                for w in [*words, "?"]:
+                    own = rest.get((u, w), [])
+                    mean[u, w] += (sum(own) - d * len(own) + (th + d * tables) * p0(w)) / (th + n) / (rounds - burn)
+    return mean
+
+
+@pytest.mark.parametrize("chars", [1_000_000, 60])
+def test_lm_scores_against_single_customers(spark, monkeypatch, chars):
+    """Over several tasks and buckets, with repeated and null ids: scores near those of customers moved one by one."""
+    rng = np.random.default_rng(41)
+    texts = [[f"w{min(int(rng.geometric(0.35)), 8)}" for _ in range(int(rng.integers(1, 9)))] for _ in range(24)]
+    ids = [None if k % 9 == 8 else k // 2 for k in range(24)]
+    held = [zlib.crc32(("" if i is None else str(i)).encode()) % 7 == 2 for i in ids]
+    assert any(held) and not all(held)
+    for name, value in (("SAMPLES", 400), ("BURN_IN", 20)):
+        monkeypatch.setattr(lm_score, name, value)
+    p = _customer_by_customer([t for t, h in zip(texts, held, strict=True) if not h], 500, 100)
+    known = {w for t, h in zip(texts, held, strict=True) if not h for w in t}
+    shown = lambda w: w if w in known or w in ("<s>", "</s>") else "?"
+    expected = sorted(sum(math.log10(p[shown(u), shown(w)]) for u, w in zip(["<s>", *t], [*t, "</s>"], strict=True)) for t in texts)
+    rows = spark.sparkContext.parallelize([(i, " ".join(t)) for i, t in zip(ids, texts, strict=True)], 4)
+    found = sorted(r["score"] for r in lm_score.score(spark.createDataFrame(rows, "doc_id long, text string"), bucket_chars=chars).collect())
+    assert len(found) == 24 and np.allclose(found, expected, rtol=0.06, atol=0.1), list(zip(found, expected, strict=True))
+
+
 def test_lm_units_with_large_numbers(monkeypatch):
     """Pairs too many to number are sorted by their parts, to the same messages."""
     rng = np.random.default_rng(33)
