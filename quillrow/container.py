@@ -15,6 +15,7 @@ import zlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow.fs as pafs
 
 from quillrow import wire
@@ -205,7 +206,8 @@ class Writer:
         self.file, self.codec, self.block_bytes = file, codec_name(codec), block_bytes
         self.sync = sync or os.urandom(SYNC_SIZE)
         self.pending: list[bytes] = []
-        self.held = self.rows = self.blocks = 0
+        #: Bytes held; rows and blocks written; rows pending beyond one for each piece.
+        self.held = self.rows = self.blocks = self.more = 0
         file.write(header_bytes(record, self.codec, self.sync))
 
     def add(self, rows: list[bytes]) -> None:
@@ -215,14 +217,28 @@ class Writer:
             if self.held >= self.block_bytes:
                 self.end_block()
 
+    def add_encoded(self, data: memoryview, ends: np.ndarray) -> None:
+        """Rows that stand behind one another. A block ends with the row that fills it, as with ``add``."""
+        row = begin = 0
+        while row < len(ends):
+            fills = int(np.searchsorted(ends, begin + self.block_bytes - self.held))
+            to = min(fills + 1, len(ends))
+            end = int(ends[to - 1])
+            self.pending.append(bytes(data[begin:end]))
+            self.more += to - row - 1
+            self.held += end - begin
+            row, begin = to, end
+            if self.held >= self.block_bytes:
+                self.end_block()
+
     def end_block(self) -> None:
         if not self.pending:
             return
-        data = compress(self.codec, b"".join(self.pending))
-        self.file.write(wire.varint(2 * len(self.pending)) + wire.varint(2 * len(data)) + data + self.sync)
-        self.rows += len(self.pending)
+        data, rows = compress(self.codec, b"".join(self.pending)), len(self.pending) + self.more
+        self.file.write(wire.varint(2 * rows) + wire.varint(2 * len(data)) + data + self.sync)
+        self.rows += rows
         self.blocks += 1
-        self.pending, self.held = [], 0
+        self.pending, self.held, self.more = [], 0, 0
 
 
 def write_bytes(record: Schema, rows: list, codec: str = "null", block_bytes: int = 1 << 18) -> bytes:

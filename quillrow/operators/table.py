@@ -10,13 +10,12 @@ from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillrow import container, wire
-from quillrow.arrow import to_values
+from quillrow import container
 from quillrow.errors import ContainerError, SchemaError
 from quillrow.runtime import scratch
 from quillrow.schema import Record, from_spark, parse, to_spark
 from quillrow.session import install
-from quillrow.sources.container_source import FORMAT, SPLIT_BYTES, record_batches
+from quillrow.sources.container_source import FORMAT, SPLIT_BYTES, record_batches, write_batches
 
 #: A split is not made smaller than this.
 LEAST_SPLIT = 1 << 20
@@ -160,11 +159,9 @@ def read_binary_files(spark: SparkSession, path: str, schema_json: str) -> DataF
 
 def _encoded(record: Record, codec: str, block_bytes: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out, encode = io.BytesIO(), wire.rows_encoder(record)
+        out = io.BytesIO()
         writer = container.Writer(out, record, codec, block_bytes)
-        for batch in batches:
-            writer.add(encode([to_values(c) for c in batch.columns], batch.num_rows))
-        writer.end_block()
+        write_batches(writer, record, batches)
         if writer.rows:
             yield pa.RecordBatch.from_arrays([pa.array([out.getvalue()], pa.binary()), pa.array([writer.rows], pa.int64())], ["container", "rows"])
 

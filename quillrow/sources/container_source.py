@@ -23,7 +23,7 @@ import pyarrow.fs as pafs
 from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 
-from quillrow import container, wire
+from quillrow import columns, container, wire
 from quillrow.arrow import arrow_type, to_array, to_values
 from quillrow.errors import ContainerError, SchemaError
 from quillrow.schema import Record, from_spark, parse, render, spark_type, to_spark
@@ -68,12 +68,12 @@ def record_batches(file, path: str, wanted: list[str], expected: Record | None,
     for b in container.blocks(file, header, start, end):
         plain = container.decompress(header.codec, b.data)
         try:
-            columns, _ = read(plain, 0, len(plain), b.rows)
+            found, _ = read(plain, 0, len(plain), b.rows)
         except ContainerError:
             raise
         except ValueError as error:
             raise ContainerError(f"{path}: the block at {b.offset} is damaged: {error}") from None
-        arrays = {n: to_array(c, own[n]) for n, c in zip(names, columns, strict=True)}
+        arrays = {n: to_array(c, own[n]) for n, c in zip(names, found, strict=True)}
         if positions:
             arrays |= {"_file": pa.array([path] * b.rows), "_block": pa.array([b.offset] * b.rows, pa.int64()), "_row": pa.array(range(b.rows), pa.int64())}
         if wanted:
@@ -82,6 +82,18 @@ def record_batches(file, path: str, wanted: list[str], expected: Record | None,
             yield pa.RecordBatch.from_struct_array(pa.array([{}] * b.rows, pa.struct([])))
 
 
+def write_batches(writer: container.Writer, record: Record, batches: Iterator[pa.RecordBatch]) -> None:
+    """The rows of batches, encoded by columns where that is possible and else row by row."""
+    encode, by_columns = wire.rows_encoder(record), columns.supported(record)
+    for batch in batches:
+        found = columns.rows_of(record, batch.columns, batch.num_rows) if by_columns else None
+        if found is None:
+            writer.add(encode([to_values(c) for c in batch.columns], batch.num_rows))
+        else:
+            writer.add_encoded(*found)
+    writer.end_block()
+
+
 class _Reader(DataSourceReader):
     def __init__(self, path: str, options: dict, wanted: list[str], expected: Record | None):
         self.path, self.wanted, self.expected = path, wanted, expected
@@ -147,12 +159,9 @@ class _Writer(DataSourceArrowWriter):
         name = f"part-{task.partitionId():05d}-{self.job}{container.SUFFIX}"
         temporary = f"{root}/_temporary-{self.job}/{task.taskAttemptId()}-{name}"
         fs.create_dir(os.path.dirname(temporary), recursive=True)
-        encode = wire.rows_encoder(self.record)
         with fs.open_output_stream(temporary) as file:
             writer = container.Writer(file, self.record, self.codec, self.block)
-            for batch in iterator:
-                writer.add(encode([to_values(c) for c in batch.columns], batch.num_rows))
-            writer.end_block()
+            write_batches(writer, self.record, iterator)
         return _Written(temporary, f"{root}/{name}", writer.rows)
 
     def commit(self, messages: list[_Written | None]) -> None:
