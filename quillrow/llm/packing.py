@@ -34,7 +34,7 @@ END_ID = 2
 #: Pieces in a group that one task ranks.
 GROUP = 8000
 #: Chunks between ASCII white space whose ids a worker remembers, under 200 bytes each.
-REMEMBERED = 1_200_000
+REMEMBERED = 1_000_000
 #: New words that go through the model in one call.
 TOGETHER = 2000
 
