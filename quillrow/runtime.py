@@ -11,8 +11,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 import quillrow
 
-#: Paths of intermediate results.
+#: Paths of intermediate results; folders of local sessions, by application.
 _SCRATCH: list[str] = []
+_LOCAL: dict[str, str] = {}
 
 
 def ship() -> None:
@@ -34,8 +35,10 @@ def shared_dir(spark: SparkSession) -> str:
     if not found:
         if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
             raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        found = "file://" + tempfile.mkdtemp(prefix="quillrow-", dir=os.environ.get("TMPDIR"))
-        spark.conf.set("spark.checkpoint.dir", found)  # one folder for each session
+        name = spark.sparkContext.applicationId
+        if name not in _LOCAL:
+            _LOCAL[name] = "file://" + tempfile.mkdtemp(prefix="quillrow-", dir=os.environ.get("TMPDIR"))
+        found = _LOCAL[name]
     return found
 
 

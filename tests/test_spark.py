@@ -223,10 +223,10 @@ def test_shared_folder_is_needed_on_a_cluster(monkeypatch):
 
     from quillrow.runtime import shared_dir
 
-    nothing = SimpleNamespace(get=lambda *a: None, set=lambda *a: None)
-    session = lambda master: SimpleNamespace(conf=nothing, sparkContext=SimpleNamespace(master=master, getCheckpointDir=lambda: None))
+    nothing = SimpleNamespace(get=lambda *a: None)
+    session = lambda master: SimpleNamespace(conf=nothing, sparkContext=SimpleNamespace(master=master, applicationId="one", getCheckpointDir=lambda: None))
     with pytest.raises(RuntimeError):
         shared_dir(session("spark://host:7077"))
     with pytest.raises(RuntimeError):
         shared_dir(session("local-cluster[2,1,1024]"))
-    assert shared_dir(session("local[2]")).startswith("file://")
+    assert shared_dir(session("local[2]")).startswith("file://") and shared_dir(session("local[2]")) == shared_dir(session("local"))
