@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import sys
 import types
 from collections.abc import Iterator
@@ -80,3 +82,10 @@ def small_batches(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterato
             yield batch.slice(at, rows)
         del batch
         pa.default_memory_pool().release_unused()
+        trim()
+
+
+def trim() -> None:
+    """Gives memory that Python has freed back to the system, where the C library can do so."""
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)

@@ -11,6 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillrow.llm import chat, exact_dedup, language, licenses, lm_score, mixing, near_dedup, packing, quality, sharding
+from quillrow.llm import components as component_module
 from quillrow.llm.components import components
 
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
@@ -196,17 +197,22 @@ def test_small_blocks_find_the_same(make, near_rows, monkeypatch):
     assert found == len(_brute_classes(near_rows))
 
 
-def test_components_against_brute_force(spark):
+@pytest.mark.parametrize("links", [200_000, 50])
+def test_components_against_brute_force(spark, monkeypatch, links):
+    monkeypatch.setattr(component_module, "TASK_LINKS", links)
     rng = np.random.default_rng(30)
-    pairs = [(int(a), int(b)) for a, b in rng.integers(0, 400, (260, 2))] + [(k, k + 1) for k in range(1000, 1060)] + [(2000, k) for k in range(2001, 2100)] + [(7, 7), (3000, 3000)]
+    pairs = [(int(a), int(b)) for a, b in rng.integers(0, 400, (260, 2))] + [(k, k + 1) for k in range(1000, 1060)] + [(k, 2000 + k % 7) for k in range(2100, 2400)] + [(7, 7), (3000, 3000)]
+    pairs += [(int(a), 2000 + int(b)) for a, b in zip(rng.integers(2100, 2400, 40), rng.integers(0, 3, 40), strict=True)] + [(5000, k) for k in range(5001, 5040)]
     label = {x: x for p in pairs for x in p if p[0] != p[1]}
     while any(label[a] != label[b] for a, b in pairs if a != b):
         for a, b in pairs:
             if a != b:
                 label[a] = label[b] = min(label[a], label[b])
+    groups = lambda of: sorted(sorted(x for x in of if of[x] == c) for c in set(of.values()))
     again = pairs + [(b, a) for a, b in pairs[:100]] + pairs[:50]
     found = components(spark.createDataFrame(again, "a long, b long")).collect()
-    assert Counter((r["node"], r["component"]) for r in found) == Counter(label.items())
+    assert len(found) == len(label) and groups({r["node"]: r["component"] for r in found}) == groups(label)
+    assert all(label[r["component"]] == label[r["node"]] for r in found)
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
