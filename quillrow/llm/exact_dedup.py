@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillrow.llm.common import checkpoint, named, row_hash, ship, table, text_or_empty
+from quillrow.llm.common import checkpoint, named, row_hash, ship, small_batches, table, text_or_empty
 
 #: Bytes that do not count when texts are compared.
 DELETED = b" \t\n\v\f\r"
@@ -96,7 +96,7 @@ def _recipes(hash_bits: int, collided):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         gear, several = _gear(), frozenset(collided.value.tolist())
-        for batch in batches:
+        for batch in small_batches(batches, 1024):
             texts = batch.column("text").to_pylist()
             bare = [t.encode("utf-8", "surrogatepass").translate(None, DELETED) for t in texts]
             recipes, contents = [], []
@@ -124,7 +124,7 @@ def _chunks(hash_bits: int, with_row: bool):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         gear = _gear()
-        for batch in batches:
+        for batch in small_batches(batches, 1024):
             ids, texts = batch.column("doc_id"), batch.column("text").to_pylist()
             at = 0
             while at < len(texts):
