@@ -191,6 +191,29 @@ def test_clashing_names_of_texts(make, near_rows, monkeypatch):
     assert _found_classes(near_dedup.near_classes(make(near_rows)).collect()) == _brute_classes(near_rows)
 
 
+def test_few_rows_take_few_tasks(make, near_rows, spark):
+    """What a step leaves of few rows is read by few tasks, however many partitions a shuffle has: the driver keeps the books of each."""
+    held, context = {"spark.sql.shuffle.partitions": "24", "spark.sql.adaptive.coalescePartitions.enabled": "false"}, spark.sparkContext
+    before = {k: spark.conf.get(k) for k in held}
+    docs = make(near_rows).cache()
+    docs.count()
+    try:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+        context.setJobGroup("few tasks", "")
+        found = near_dedup.near_classes(docs).collect()
+    finally:
+        context.setLocalProperty("spark.jobGroup.id", None)
+        for k, v in before.items():
+            spark.conf.set(k, v)
+        docs.unpersist()
+    assert _found_classes(found) == _brute_classes(near_rows)
+    jobs = map(context.statusTracker().getJobInfo, context.statusTracker().getJobIdsForGroup("few tasks"))
+    stages = [context.statusTracker().getStageInfo(s) for s in {s for j in jobs for s in j.stageIds}]
+    tasks = sum(s.numCompletedTasks for s in stages if s)
+    assert 0 < tasks < 46 * 24, tasks
+
+
 def test_small_blocks_find_the_same(make, near_rows, monkeypatch):
     monkeypatch.setattr(near_dedup, "BLOCK", 2)
     found = near_dedup.near_classes(make(near_rows)).select("class_id").distinct().count()
