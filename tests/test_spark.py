@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillrow import container as C
+from quillrow import runtime
 from quillrow import schema as S
 from quillrow.functions.codec import encoded_size, from_binary, to_binary
 from quillrow.operators import table as tables
@@ -230,3 +231,15 @@ def test_shared_folder_is_needed_on_a_cluster(monkeypatch):
     with pytest.raises(RuntimeError):
         shared_dir(session("local-cluster[2,1,1024]"))
     assert shared_dir(session("local[2]")).startswith("file://") and shared_dir(session("local[2]")) == shared_dir(session("local"))
+
+
+def test_grown_driver_heap_is_swept_after_a_step(spark, monkeypatch):
+    swept = []
+    monkeypatch.setattr(runtime, "sweep", swept.append)
+    monkeypatch.setattr(runtime, "HEAP_SHARE", 1.1)
+    runtime.checkpoint(spark.range(3))
+    assert not swept
+    monkeypatch.setattr(runtime, "HEAP_SHARE", 0.0)
+    assert runtime.checkpoint(spark.range(3)).count() == 3
+    assert runtime.materialize(spark.range(3)).count() == 3
+    assert len(swept) == 2
