@@ -257,7 +257,8 @@ def _read_fields(s: Record, readers: list[Reader], data: Column, at: Column, don
 def native_decoding(s: Schema, data: Column) -> Column | None:
     """The value by built-in functions, or None if they cannot express it."""
     read = native_reader(s)
-    return None if read is None else F.when(data.isNotNull(), read(data, F.lit(1))["v"])
+    # Readers name the bytes in every step; data may be a whole encoding.
+    return None if read is None else _let(data, lambda whole: F.when(whole.isNotNull(), read(whole, F.lit(1))["v"]))
 
 
 def arrow_decoding(s: Schema, data: Column, permissive: bool) -> Column:

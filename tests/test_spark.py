@@ -243,3 +243,12 @@ def test_grown_driver_heap_is_swept_after_a_step(spark, monkeypatch):
     assert runtime.checkpoint(spark.range(3)).count() == 3
     assert runtime.materialize(spark.range(3)).count() == 3
     assert len(swept) == 2
+
+
+def test_native_decoding_names_its_bytes_once(spark):
+    """They may be a whole encoding, which would be computed again in every step of a record's reader."""
+    record = '{"type":"record","name":"r","fields":[{"name":"a","type":"long"},{"name":"b","type":"string"},{"name":"c","type":["null","long"]}]}'
+    rows = spark.createDataFrame([(b"\x02\x02b\x02\x06",), (None,)], "the_bytes binary")
+    shown = rows.select(from_binary(F.col("the_bytes"), record, native=True).alias("v"))
+    assert shown._jdf.queryExecution().analyzed().expressions().toString().count("the_bytes") == 1
+    assert [r["v"] and tuple(r["v"]) for r in shown.collect()] == [(1, "b", 3), None]
