@@ -105,8 +105,8 @@ def native_encoding(s: Schema, x: Column) -> Column | None:
         return whole if null is None else F.when(x.isNull(), null).otherwise(whole)
     if isinstance(s, Logical):
         if s.logical == "uuid":
-            y = F.lower(x)
-            return F.when(y.rlike(f"^(?:{wire.UUID.pattern})$"), native_encoding(s.base, y)).when(x.isNotNull(), _raise("no uuid"))
+            y = F.lower(x)  # its length is known, so that its varint does not compute it again and again
+            return F.when(y.rlike(rf"^(?:{wire.UUID.pattern})\z"), F.concat(F.lit(wire.varint(2 * 36)), F.encode(y, "UTF-8"))).when(x.isNotNull(), _raise("no uuid"))
         carried = _long_of(s, x)
         return None if carried is None else varint(zigzag(carried))
     return None

@@ -252,3 +252,14 @@ def test_native_decoding_names_its_bytes_once(spark):
     shown = rows.select(from_binary(F.col("the_bytes"), record, native=True).alias("v"))
     assert shown._jdf.queryExecution().analyzed().expressions().toString().count("the_bytes") == 1
     assert [r["v"] and tuple(r["v"]) for r in shown.collect()] == [(1, "b", 3), None]
+
+
+def test_uuids_are_computed_once_and_have_no_rest(spark):
+    kind = '{"type":"string","logicalType":"uuid"}'
+    one = "0123ABCD-0000-0000-0000-0123456789ab"
+    rows = spark.createDataFrame([(one,), (None,)], "the_id string")
+    found = rows.select(to_binary(F.col("the_id"), kind).alias("b"))
+    assert found._jdf.queryExecution().analyzed().expressions().toString().count("the_id") <= 3
+    assert [r["b"] and bytes(r["b"]) for r in found.collect()] == [b"H" + one.lower().encode(), None]
+    with pytest.raises(Exception, match="no uuid"):
+        spark.createDataFrame([(one + "\n",)], "the_id string").select(to_binary(F.col("the_id"), kind)).collect()
