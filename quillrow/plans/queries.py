@@ -375,6 +375,17 @@ _ROW = {
 }
 
 
+# A duration's fields hold 31 bits: of o_orderkey seconds, whole days are carried by its days (in steps of 31, where the days have a count of their own).
+
+
+def _whole_days() -> Column:
+    return F.floor(F.col("o_orderkey") / 86_400).cast("long")
+
+
+def _millis_of_day() -> Column:
+    return (F.col("o_orderkey") % 86_400 * 1000).cast("int")
+
+
 def _json(node: object) -> str:
     import json
 
@@ -418,9 +429,9 @@ ROUND_TRIPS: dict[str, tuple[str, str, Callable[[], Column], str, Callable[[Colu
     "duration": (
         "orders",
         "o_orderkey",
-        lambda: F.struct((F.col("o_orderkey") % 12).cast("int").alias("months"), (F.col("o_orderkey") % 31).cast("int").alias("days"), (F.col("o_orderkey") * 1000).cast("int").alias("millis")),
+        lambda: F.struct((F.col("o_orderkey") % 12).cast("int").alias("months"), (F.col("o_orderkey") % 31 + 31 * _whole_days()).cast("int").alias("days"), _millis_of_day().alias("millis")),
         '{"type":"fixed","name":"duration","size":12,"logicalType":"duration"}',
-        lambda v: v["months"].cast("long") * 10**12 + v["days"].cast("long") * 10**10 + v["millis"].cast("long"),
+        lambda v: v["months"].cast("long") * 10**12 + (v["days"] % 31).cast("long") * 10**10 + F.floor(v["days"] / 31).cast("long") * 86_400_000 + v["millis"].cast("long"),
         "o_orderkey % 12 * 1000000000000 + o_orderkey % 31 * 10000000000 + o_orderkey * 1000",
     ),
     "duration_interval": (

@@ -44,3 +44,15 @@ def test_query(spark, duck, name):
         expected = [dict(zip(found.columns, r, strict=True)) for r in found.fetchall()]
         key = lambda r: tuple(repr(_plain(r[c])) for c in order)
         assert sorted(map(key, rows)) == sorted(map(key, expected))
+
+
+@pytest.mark.parametrize("name", ["roundtrip_duration"])
+def test_durations_of_large_keys(spark, duck, tmp_path, name):
+    """60 times sf0.1 has keys whose milliseconds are beyond the 31 bits of a duration's field."""
+    large = f"SELECT * REPLACE (o_orderkey * 100003 AS o_orderkey) FROM '{DATA}/orders.parquet'"
+    duck.sql(f"COPY ({large}) TO '{tmp_path}/orders.parquet'")
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW orders AS SELECT * FROM '{tmp_path}/orders.parquet'")
+    assert con.sql("SELECT max(o_orderkey) * 1000 FROM orders").fetchall()[0][0] > 2**31
+    found = {(r["id"], r["value"]) for r in QUERIES[name](spark, str(tmp_path)).collect()}
+    assert found == set(con.sql(f"SELECT id, value FROM ({ORACLE_SQL[name]})").fetchall())
