@@ -437,7 +437,7 @@ ROUND_TRIPS: dict[str, tuple[str, str, Callable[[], Column], str, Callable[[Colu
     "duration_interval": (
         "orders",
         "o_orderkey",
-        lambda: F.struct(F.lit(1).alias("months"), F.lit(2).alias("days"), (F.col("o_orderkey") * 1000).cast("int").alias("millis")),
+        lambda: F.struct(F.lit(1).alias("months"), (2 + _whole_days()).cast("int").alias("days"), _millis_of_day().alias("millis")),
         '{"type":"fixed","name":"duration","size":12,"logicalType":"duration"}',
         lambda v: F.date_format(F.lit("2020-01-31 00:00:00").cast("timestamp_ntz") + duration_interval(v), "yyyy-MM-dd"),
         "strftime(TIMESTAMP '2020-02-29' + INTERVAL 2 DAY + to_seconds(o_orderkey), '%Y-%m-%d')",

@@ -46,7 +46,7 @@ def test_query(spark, duck, name):
         assert sorted(map(key, rows)) == sorted(map(key, expected))
 
 
-@pytest.mark.parametrize("name", ["roundtrip_duration"])
+@pytest.mark.parametrize("name", ["roundtrip_duration", "roundtrip_duration_interval"])
 def test_durations_of_large_keys(spark, duck, tmp_path, name):
     """60 times sf0.1 has keys whose milliseconds are beyond the 31 bits of a duration's field."""
     large = f"SELECT * REPLACE (o_orderkey * 100003 AS o_orderkey) FROM '{DATA}/orders.parquet'"
