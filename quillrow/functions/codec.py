@@ -55,7 +55,10 @@ def _raise(what: str | Column) -> Column:
 
 def _long_of(s: Logical, x: Column) -> Column | None:
     """The integer that carries a logical value."""
+    of_day = lambda: F.time_diff(F.lit("microsecond"), F.make_time(F.lit(0), F.lit(0), F.lit(0).cast("decimal(16,6)")), x)
     return {
+        "time-micros": of_day,
+        "time-millis": lambda: F.floor(of_day() / 1000).cast("long"),
         "date": lambda: F.unix_date(x).cast("long"),
         "timestamp-micros": lambda: F.unix_micros(x),
         "timestamp-millis": lambda: F.unix_millis(x),
@@ -306,6 +309,9 @@ def encoded_size(x: Column, schema: Schema | str) -> Column:
     if isinstance(s, Primitive) and s.kind in ("bytes", "string"):
         n = F.octet_length(x)
         return varint_size(zigzag(n)) + n
+    carried = _long_of(s, x) if isinstance(s, Logical) else None
+    if carried is not None:
+        return varint_size(zigzag(carried))
     found = native_encoding(s, x)
     if found is not None:
         return F.octet_length(found)

@@ -8,6 +8,7 @@ from quillrow import runtime
 from quillrow import schema as S
 from quillrow.functions.codec import encoded_size, from_binary, to_binary
 from quillrow.operators import table as tables
+from quillrow.session import install
 from quillrow.streaming.containers import read_container_stream, write_container_batch
 
 
@@ -263,3 +264,13 @@ def test_uuids_are_computed_once_and_have_no_rest(spark):
     assert [r["b"] and bytes(r["b"]) for r in found.collect()] == [b"H" + one.lower().encode(), None]
     with pytest.raises(Exception, match="no uuid"):
         spark.createDataFrame([(one + "\n",)], "the_id string").select(to_binary(F.col("the_id"), kind)).collect()
+
+
+@pytest.mark.parametrize("kind", ['{"type":"long","logicalType":"time-micros"}', '{"type":"int","logicalType":"time-millis"}'])
+def test_times_are_encoded_and_sized_without_python_workers(spark, kind):
+    install(spark)
+    rows = spark.sql("SELECT * FROM VALUES (TIME'00:00:00'), (TIME'00:00:00.000064'), (TIME'12:34:56.789999'), (TIME'23:59:59.999999'), (NULL) AS t(t)")
+    found = rows.select(encoded_size(F.col("t"), kind).alias("n"), to_binary(F.col("t"), kind).alias("b"), to_binary(F.col("t"), kind, native=False).alias("a"))
+    assert "ArrowEvalPython" not in rows.select(encoded_size(F.col("t"), kind), to_binary(F.col("t"), kind))._jdf.queryExecution().executedPlan().toString()
+    for r in found.collect():
+        assert r["b"] == r["a"] and r["n"] == (r["a"] if r["a"] is None else len(r["a"]))

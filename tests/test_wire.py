@@ -244,3 +244,12 @@ def test_debugging_shows_messages():
         logging.getLogger("quillrow").debug("%d splits", 3)
     LOG.debug("not shown")
     assert out.getvalue() == "quillrow DEBUG 3 splits\n"
+
+
+def test_sizes_compile_one_encoder_for_a_schema(monkeypatch):
+    made, make = [], W.encoder
+    monkeypatch.setattr(W, "_ENCODERS", {})
+    monkeypatch.setattr(W, "encoder", lambda s: made.append(s) or make(s))
+    times = S.Array(S.logical("time-micros"))
+    assert W.encoded_size(times, [0, 1_000_000, 86_399_999_999_000]) == len(make(times)([0, 1_000_000, 86_399_999_999_000]))
+    assert len(made) == 1
