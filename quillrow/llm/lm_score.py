@@ -171,14 +171,47 @@ def _unit(ids: list[np.ndarray], docs: list[tuple[int | None, bool]], vocabulary
     yield -1, True, _dump(doc_id=ids_, known=known, held=~train, tokens=lengths, entries=entries, doc=steps, times=times)
 
 
-def _units(buckets: int, hot):
+def _word_unit(ids: list[np.ndarray], docs: list[tuple[int | None, bool]], vocabulary: dict[bytes, int], buckets: int, _) -> Iterator[tuple]:
+    """The same of a unit's words alone: rows (bucket, is_docs, payload) with its words by bucket."""
+    names = np.fromiter((xxhash.xxh3_64_intdigest(w) for w in vocabulary), np.uint64, len(vocabulary))
+    names = np.concatenate((names, np.array([END], np.uint64)))
+    bucket = (_mix(names) % np.uint64(buckets)).astype(np.int64)
+    order = np.lexsort((names, bucket))
+    number = np.empty(len(names), np.int64)
+    number[order] = np.arange(len(names))
+    names, bucket, end = names[order], bucket[order], number[-1]
+    lengths = np.fromiter((len(x) + 1 for x in ids), np.int64, len(ids))
+    words = np.full(int(lengths.sum()), end, np.int64)
+    inner = np.ones(len(words), bool)
+    inner[np.cumsum(lengths) - 1] = False
+    words[inner] = number[np.concatenate(ids)]
+    words *= len(ids)  # word and document in one number
+    words += np.repeat(np.arange(len(ids)), lengths)
+    code, times = np.unique(words, return_counts=True)
+    del words, inner
+    word, doc = np.divmod(code, len(ids))
+    first = np.flatnonzero(np.concatenate(([True], word[1:] != word[:-1])))
+    entries = np.diff(np.concatenate((first, [len(word)]))).astype(np.int32)
+    train = np.fromiter((not held for _, held in docs), bool, len(docs))
+    trained = np.add.reduceat(np.where(train[doc], times, 0), first).astype(np.int32)
+    cuts = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1], [True])))
+    for x, y in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+        yield int(bucket[x]), False, _dump(names=np.diff(names[x:y], prepend=np.uint64(0)), trained=trained[x:y])
+    known = np.fromiter((d is not None for d, _ in docs), bool, len(docs))
+    ids_ = np.fromiter((d or 0 for d, _ in docs), np.int64, len(docs))
+    steps = np.diff(doc, prepend=0).astype(np.int32)
+    steps[first] = doc[first]
+    yield -1, True, _dump(doc_id=ids_, known=known, held=~train, tokens=lengths, entries=entries, doc=steps, times=times.astype(np.int32))
+
+
+def _units(buckets: int, hot, unit_rows=_unit):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hot_ = hot.value
+        hot_ = hot and hot.value
         ids, docs, vocabulary, tokens = [], [], _Vocabulary(), 0
         unit = TaskContext.get().partitionId() << 24  # a name that no other task gives
 
         def flush():
-            for b, is_docs, payload in _unit(ids, docs, vocabulary, buckets, hot_):
+            for b, is_docs, payload in unit_rows(ids, docs, vocabulary, buckets, hot_):
                 b = -1 - unit % (1 << 24) - (unit >> 24) * 64 if is_docs else b  # keys of their own
                 yield pa.RecordBatch.from_pydict(
                     {"bucket": pa.array([b], pa.int32()), "unit": pa.array([unit], pa.int64()), "is_docs": pa.array([is_docs]), "payload": pa.array([payload], pa.binary())}
@@ -499,6 +532,22 @@ def _stage_e(key, t):
     )
 
 
+def _word_counts(key, t):
+    """A bucket's counts of its words, for each unit that has them; its tokens and words in training stand in the first row. A unit's documents pass."""
+    payloads = t.column("payload").to_pylist()
+    n = v = 0
+    if key[0].as_py() >= 0:
+        said = [_load(p) for p in payloads]
+        words, at = np.unique(np.concatenate([np.cumsum(p["names"]) for p in said]), return_inverse=True)
+        c = np.bincount(at, np.concatenate([p["trained"] for p in said]), len(words)).astype(np.int64)
+        n, v = int(c.sum()), int((c > 0).sum())
+        cuts = np.cumsum([len(p["names"]) for p in said])[:-1]
+        payloads = [_dump(logs=np.zeros(len(x), np.int8), c=c[x]) for x in np.split(at, cuts)]
+    rest = [0] * (len(payloads) - 1)
+    columns = {"n": pa.array([n, *rest], pa.int64()), "v": pa.array([v, *rest], pa.int64())}
+    return pa.table({"unit": t.column("unit"), "is_docs": t.column("is_docs"), "bucket": t.column("bucket"), "payload": pa.array(payloads, pa.binary()), **columns})
+
+
 def _frequent(share: float):
     """A task's words with more than this share of its tokens, and its tokens under START."""
 
@@ -515,6 +564,14 @@ def _frequent(share: float):
     return run
 
 
+def _dealt(docs: DataFrame, folds: int, held: int, bucket_chars: int) -> tuple[DataFrame, int]:
+    """The documents with their fold and text, and the number of buckets for them."""
+    fold = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % folds == held
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), fold.alias("held_out"), text_or_empty().alias("text"))
+    chars = rows.agg(F.sum(F.length("text"))).first()[0] or 0
+    return rows, max(2, -(-chars // bucket_chars))
+
+
 def score(docs: DataFrame, folds: int = 7, held: int = 2, bucket_chars: int = BUCKET_CHARS) -> DataFrame:
     """One row per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, perplexity.
 
@@ -522,11 +579,7 @@ def score(docs: DataFrame, folds: int = 7, held: int = 2, bucket_chars: int = BU
     """
     ship()
     context = docs.sparkSession.sparkContext
-    text = text_or_empty()
-    fold = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % folds == held
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), fold.alias("held_out"), text.alias("text"))
-    chars = rows.agg(F.sum(F.length("text"))).first()[0] or 0
-    buckets = max(2, -(-chars // bucket_chars))
+    rows, buckets = _dealt(docs, folds, held, bucket_chars)
     share = 0.5 / buckets
     often = checkpoint(rows.select("text").mapInArrow(_frequent(share / 4), "name long, n long").groupBy("name").agg(F.sum("n").alias("n")))
     tokens = (often.filter(F.col("name") == END).first() or {"n": 0})["n"]
@@ -562,9 +615,24 @@ def op1_lm_scoring(spark, sf_dir):
     return score(table(spark, sf_dir, "documents"))
 
 
+def base_scores(docs: DataFrame, folds: int = 7, held: int = 2, bucket_chars: int = BUCKET_CHARS) -> DataFrame:
+    """The columns of ``score`` that need no seating: doc_id, held_out, n_tokens, n_known, train_tokens, base_score.
+
+    A bucket merges its units' words and answers each unit with their counts; the units' documents wait beside them.
+    """
+    ship()
+    rows, buckets = _dealt(docs, folds, held, bucket_chars)
+    units = rows.mapInArrow(_units(buckets, None, _word_unit), "bucket int, unit long, is_docs boolean, payload binary")
+    counted = units.groupBy("bucket").applyInArrow(_word_counts, "unit long, is_docs boolean, bucket int, payload binary, n long, v long")
+    sums = counted.agg(F.sum("n").alias("n_train"), F.sum("v").alias("distinct"))
+    scores = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, perplexity double"
+    done = counted.drop("n", "v").crossJoin(sums).groupBy("unit").applyInArrow(_stage_e, scores)
+    return done.drop("score", "perplexity")
+
+
 def lm_base_scores(spark, sf_dir):
     """What of op1 SQL can express: the counts and the base score."""
-    return op1_lm_scoring(spark, sf_dir).select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", F.round("base_score", 3).alias("base_score"))
+    return base_scores(table(spark, sf_dir, "documents")).withColumn("base_score", F.round("base_score", 3))
 
 
 QUERIES = {"op1_lm_scoring": op1_lm_scoring, "lm_base_scores": lm_base_scores}

@@ -892,3 +892,20 @@ def test_empty_tables(spark, nothing):
         chat.format_chats(spark.createDataFrame([], "conv_id long, turn long, role string, text string")),
     ):
         assert out.count() == 0
+
+
+def test_base_scores_alone_equal_those_of_the_model(spark):
+    rows = [(k, " ".join(f"W{(k * j) % 13}" for j in range(k % 9))) for k in range(60)] + [(3, None), (None, "w1 \x0bw2 new"), (7, "a b"), (7, "a b"), (None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    columns = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens"]
+    seen = lambda df: Counter((*(r[c] for c in columns), round(r["base_score"], 6)) for r in df.collect())
+    for folds, held in ((7, 2), (1, 0), (1, 1)):  # some, all and none held out
+        assert seen(lm_score.base_scores(docs, folds, held, 50)) == seen(lm_score.score(docs, folds, held, 50))
+    assert lm_score.base_scores(docs.limit(0)).count() == 0
+
+
+def test_base_scores_seat_nobody(spark, tmp_path):
+    spark.createDataFrame([(1, "a b a")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    found = lm_score.lm_base_scores(spark, str(tmp_path))
+    assert "CoGroups" not in found._jdf.queryExecution().executedPlan().toString()
+    assert found.first()["n_tokens"] == 4
